@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -258,6 +259,11 @@ EXTRA: dict[str, tuple[Callable, str]] = {
 }
 
 
+def _wide(sql: str) -> str:
+    """The 32-bit columns that a query returns, as BIGINT."""
+    return re.sub(r"((?:\b[a-z]\.)?\b(?:n_nationkey|n_regionkey|r_regionkey|c_nationkey|s_nationkey)) AS (\w+)\b(?!\))", r"CAST(\1 AS BIGINT) AS \2", sql)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code(CODE_QUERIES["b6_imports"][0])(spark, sf_dir)
 
@@ -267,4 +273,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[2] for k, v in PROGRAMS.items()} | {k: f"WITH RECURSIVE {CODE}, {DERIVED} {v[1]}" for k, v in CODE_QUERIES.items()} | {k: v[1] for k, v in EXTRA.items()}
+    return {k: _wide(v[2]) for k, v in PROGRAMS.items()} | {k: f"WITH RECURSIVE {CODE}, {DERIVED} {v[1]}" for k, v in CODE_QUERIES.items()} | {k: v[1] for k, v in EXTRA.items()}

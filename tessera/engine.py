@@ -69,6 +69,7 @@ class Engine:
         self.base: dict[str, tuple[DataFrame, list[str]]] = {}
         self.rules: list[Rule] = []
         self.heads: list[set[str]] = []  # of each load
+        self.warm: dict = {}  # predicates that are finished, while relations and rules stay
         self.scip_ingested, self.stale, self.root = True, False, ""
         if code:
             for name in schema.RELATIONS:
@@ -87,6 +88,7 @@ class Engine:
             types.append("str" if kind == "string" else "int")
             columns.append(F.col(f"`{f.name}`").cast("string" if kind == "string" else "bigint").alias(f"c{i}"))
         out = df.select(*columns)
+        self.warm = {}
         self.base[name] = (out.distinct() if distinct else out), types
 
     def load_rules(self, text: str) -> list[str]:
@@ -96,6 +98,7 @@ class Engine:
             raise invalid("a rule file holds no query")
         check(program, self.arities(), tuple(self.rules))
         stratify([*self.rules, *program.rules])
+        self.warm = {}
         heads = {r.head.name for r in program.rules}
         widened = sorted(heads & set().union(*self.heads))
         self.rules += program.rules
@@ -135,7 +138,7 @@ class Engine:
         deadline = None if self.limits.milliseconds is None else time.monotonic() + self.limits.milliseconds / 1000
         if deadline is not None and not self.limits.milliseconds:
             raise QueryError(Status.TIMEOUT, "the time is over")
-        ev = Evaluation(self.spark, rules, self.base, self.limits.derived, deadline, seeds)
+        ev = Evaluation(self.spark, rules, self.base, self.limits.derived, deadline, seeds, None if parse(text).rules else self.warm)
         env = ev.goal(goal)
         if columns:
             df = env.df.select(*(F.col(name_of(c)).alias(c) for c in columns)).distinct()

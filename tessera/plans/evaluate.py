@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +12,28 @@ from pyspark.sql import functions as F
 from tessera.errors import QueryError, Status
 from tessera.plans.check import components, is_recursive
 from tessera.plans.compile import BodyCompiler, Env
-from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, map_terms, variables
+from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, atoms, map_terms, variables
 from tessera.plans.tables import materialize
 from tessera.plans.types import convert, infer
 
 COMPACT = 8  # rounds after which the deltas so far become one table
+SHARED = 3  # a joined predicate with so many uses is computed once and written
 
 
 class Evaluation:
     """Of one program: rules and base relations (columns c0, c1, ... and their types)."""
 
-    def __init__(self, spark: SparkSession, rules: list[Rule], base: dict[str, tuple[DataFrame, list[str]]], most_derived: int | None = None, deadline: float | None = None, seeds: bool = True):
+    def __init__(self, spark: SparkSession, rules: list[Rule], base: dict[str, tuple[DataFrame, list[str]]], most_derived: int | None = None, deadline: float | None = None, seeds: bool = True, warm: dict | None = None):
+        """warm: finished predicates of an earlier evaluation of the same rules over the same relations; grows."""
         self.spark, self.rules, self.base, self.use_seeds = spark, rules, dict(base), seeds
         self.types = infer(rules, {k: v[1] for k, v in base.items()})
         self.part = {n: p for p in components(rules) for n in p}
         self.recursive = {n for n, p in self.part.items() if is_recursive(p, rules)}
         self.done: dict[tuple, tuple[DataFrame, list[str]]] = {}
+        self.warm = {} if warm is None else warm
+        used = Counter(a.name for r in rules for a, _ in atoms(r.body))
+        wide = {r.head.name for r in rules if sum(1 for _ in atoms(r.body)) > 1}
+        self.shared = {n for n in wide if used[n] >= SHARED and n not in self.recursive}
         self.most_derived, self.deadline, self.derived, self.rounds, self.seeded = most_derived, deadline, 0, 0, []
         self.fresh = 0
 
@@ -56,10 +63,17 @@ class Evaluation:
 
     def instance(self, name: str, consts: tuple) -> tuple[DataFrame, list[str]]:
         """A predicate without recursion, with its constants put into its clauses, so that they reach every scan."""
+        if name in self.shared:
+            consts = (None,) * len(consts)  # computed once as a whole, whoever asks
         key = (name, consts)
+        if key not in self.done and key in self.warm:
+            self.done[key] = self.warm[key]
         if key not in self.done:
             parts = [self.clause(r) for r in map(lambda r: specialize(r, consts), self.rules_of({name})) if r]
             df = reduce(DataFrame.unionByName, parts).distinct() if parts else self.empty(name)
+            if name in self.shared:
+                df = materialize(df, name)
+                self.warm[key] = df, self.types[name]
             self.done[key] = df, self.types[name]
         return self.done[key]
 
@@ -68,10 +82,12 @@ class Evaluation:
         return c.head(r.head, c.run(r.body, first=first), self.types[r.head.name])
 
     def closure(self, name: str) -> tuple[DataFrame, list[str]]:
+        if (name, "all") in self.warm:
+            return self.warm[name, "all"]
         if (name, "all") not in self.done:
             part = self.part[name]
             for n, df in self.fixpoint(part, self.rules_of(part)).items():
-                self.done[n, "all"] = df, self.types[n]
+                self.done[n, "all"] = self.warm[n, "all"] = df, self.types[n]
         return self.done[name, "all"]
 
     def fixpoint(self, part: list[str], rules: list[Rule]) -> dict[str, DataFrame]:

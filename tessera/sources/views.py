@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import schema
 from tessera.engine import Engine, Limits
+from tessera.plans.tables import materialize
 
 CODE = """
 cnt AS (SELECT (SELECT count(*) FROM supplier) AS ns, (SELECT count(*) FROM part) AS np),
@@ -76,10 +77,17 @@ def relation(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"WITH {CODE} SELECT {columns} FROM {name}")
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
 def code(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the code graph, with the rule library."""
-    register(spark, sf_dir)
-    e = Engine(spark, LIMITS, code=True)
-    for n in schema.RELATIONS:
-        e.insert_relation(n, relation(spark, n))
-    return e
+    """An engine over the code graph, with the rule library. The relations are written out once for each folder, and
+    the engine stays warm."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ENGINES:
+        register(spark, sf_dir)
+        e = Engine(spark, LIMITS, code=True)
+        for n in schema.RELATIONS:
+            e.insert_relation(n, materialize(relation(spark, n), n))
+        _ENGINES[key] = e
+    return _ENGINES[key]
