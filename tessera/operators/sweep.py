@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 
 def innermost_enclosing(spans: DataFrame, group: str, key: str, start: str, end: str) -> DataFrame:
-    """group, key, owner (null: none). One pass with a stack over each group's spans, by start and then longest first.
+    """group, key, owner (null: none). One pass over each group's spans, by start and then longest first, with those still open; spans may cross.
 
     Equal spans don't enclose each other; a group is one file's declarations."""
 
@@ -15,9 +15,9 @@ def innermost_enclosing(spans: DataFrame, group: str, key: str, start: str, end:
         pdf = pdf.sort_values([start, end, key], ascending=[True, False, True], ignore_index=True)
         owners, stack = [], []
         for k, a, b in zip(pdf[key], pdf[start], pdf[end]):
-            while stack and (stack[-1][2] < b or stack[-1][2] <= a < b):
-                stack.pop()
-            owners.append(next((o for o, x, y in reversed(stack) if (x, y) != (a, b)), None))
+            stack = [x for x in stack if x[2] > a]  # the others end before
+            around = [(x - y, x, o) for o, x, y in stack if y >= b and (x, y) != (a, b)]
+            owners.append(max(around)[2] if around else None)  # the narrowest; of equals the last one
             stack.append((k, a, b))
         return pdf[[group, key]].assign(owner=owners)
 
