@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Key of rows whose doc_id is null: they come after every other document.
 LAST = 2**63 - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space, which ends a word; everything else is part of one.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,7 +39,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # its shuffle files go as soon as the table is there
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -67,7 +67,7 @@ class Parsed:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """_key, _tag, n (places) of each distinct anchor of each row."""
+    """anchor, _key, n (places) of each distinct anchor of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_memo()
@@ -84,11 +84,11 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
                 place = np.flatnonzero(new)
                 n = np.diff(np.append(place, len(doc)))
-                key, tag = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_key", "_tag"))
+                key = part.column(part.schema.get_field_index("_key")).to_numpy(zero_copy_only=False)
                 rows = doc[place]
-                yield pa.RecordBatch.from_arrays([pa.array(low[place].astype(np.int64)), pa.array(key[rows]), pa.array(tag[rows]), pa.array(n.astype(np.int32))], names=["anchor", "_key", "_tag", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(low[place].astype(np.int64)), pa.array(key[rows]), pa.array(n.astype(np.int32))], names=["anchor", "_key", "n"])
 
-    return docs.select("text", "_key", "_tag").mapInArrow(run, "anchor long, _key long, _tag long, n int")
+    return docs.select("text", "_key").mapInArrow(run, "anchor long, _key long, n int")
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def _spans(p: Parsed, single: pa.Array, firsts: list) -> Iterator[tuple[int, np.
 
 def _judged(docs: DataFrame) -> DataFrame:
     """docs (text, _key, _tag, doc_id) with the anchors that occur once in the corpus as single."""
-    once = _anchors(docs).groupBy("anchor").agg(F.sum("n").alias("n"), F.min("_key").alias("_key"), F.min("_tag").alias("_tag")).where("n = 1")
-    single = once.groupBy("_key", "_tag").agg(F.collect_list("anchor").alias("single"))
-    return docs.join(single, ["_key", "_tag"], "left")
+    once = _anchors(docs).groupBy("anchor").agg(F.sum("n").alias("n"), F.min("_key").alias("_key")).where("n = 1")
+    single = once.groupBy("_key").agg(F.collect_list("anchor").alias("single"))
+    return docs.join(single, "_key", "left")
 
 
 def parse(docs: DataFrame) -> DataFrame:
