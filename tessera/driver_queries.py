@@ -15,7 +15,9 @@ from tessera.sources.views import CODE, TABLES, code, tables
 _EDGE, _UP = TABLES["edge"][1], TABLES["up"][1]
 _CLOSED = f"WITH RECURSIVE edge AS ({_EDGE}), tc AS (SELECT a, b FROM edge UNION SELECT tc.a, edge.b FROM tc JOIN edge ON tc.b = edge.a) "
 _TREE = f"WITH RECURSIVE up AS ({_UP}), w AS (SELECT c, p FROM up UNION SELECT up.c, w.p FROM up JOIN w ON up.p = w.c) "
+_LINKED = _CLOSED.replace(_EDGE, TABLES["link"][1])
 _TC = "tc(X, Y) :- edge(X, Y). tc(X, Z) :- tc(X, Y), edge(Y, Z). "
+_TC_ALL = _TC.replace("edge", "link")
 
 PROGRAMS: dict[str, tuple[str, str, str]] = {
     "scan": ("nation", "?- nation(N, Name, R).", "SELECT n_nationkey AS n, n_name AS name, n_regionkey AS r FROM nation"),
@@ -74,6 +76,13 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "same_generation": ("up", "sg(X, Y) :- up(X, P), up(Y, P). sg(X, Y) :- up(X, A), up(Y, B), sg(A, B). ?- sg(37, Y).", f"WITH RECURSIVE up AS ({_UP}), sg AS (SELECT a.c AS x, b.c AS y FROM up a JOIN up b ON a.p = b.p WHERE a.c < 64 AND b.c < 64 UNION SELECT a.c, b.c FROM up a JOIN sg ON a.p = sg.x JOIN up b ON b.p = sg.y WHERE a.c < 64) SELECT y FROM sg WHERE x = 37"),
     "mutual": ("up", "even(0). even(C) :- up(C, P), odd(P). odd(C) :- up(C, P), even(P). ?- even(X).", f"WITH RECURSIVE up AS ({_UP}), d AS (SELECT CAST(0 AS BIGINT) AS x, 0 AS k UNION SELECT up.c, 1 - d.k FROM up JOIN d ON up.p = d.x) SELECT x FROM d WHERE k = 0"),
     "stratified": ("edge", _TC + "loop(X) :- tc(X, X). node(X) :- edge(X, _). ?- node(X), !loop(X).", _CLOSED + "SELECT DISTINCT a AS x FROM edge WHERE a NOT IN (SELECT a FROM tc WHERE a = b)"),
+    # over all rows of part: the same shapes on the graph of blocks
+    "repeated_var_all": ("link", "?- link(X, X).", f"WITH edge AS ({TABLES['link'][1]}) SELECT a AS x FROM edge WHERE a = b"),
+    "tc_linear_all": ("link", _TC_ALL + "?- tc(X, Y).", _LINKED + "SELECT a AS x, b AS y FROM tc"),
+    "tc_seeded_all": ("link", _TC_ALL + "?- tc(5, Y).", _LINKED + "SELECT b AS y FROM tc WHERE a = 5"),
+    "tc_seeded_end_all": ("link", _TC_ALL + "?- tc(X, 5).", _LINKED + "SELECT a AS x FROM tc WHERE b = 5"),
+    "tc_sideways_all": ("link region", _TC_ALL + '?- region(R, "ASIA"), tc(R, Y).', _LINKED + "SELECT CAST(r_regionkey AS BIGINT) AS r, b AS y FROM tc JOIN region ON a = r_regionkey WHERE r_name = 'ASIA'"),
+    "stratified_all": ("link", _TC_ALL + "loop(X) :- tc(X, X). node(X) :- link(X, _). ?- node(X), !loop(X).", _LINKED + "SELECT DISTINCT a AS x FROM edge WHERE a NOT IN (SELECT a FROM tc WHERE a = b)"),
     "ground_goal": ("region", '?- region(_, "ASIA").', "SELECT true AS holds WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA')"),
     "mixed_column": ("region", "v(X) :- region(X, _). v(N) :- region(_, N). ?- v(X).", "SELECT concat('i:', r_regionkey) AS x FROM region UNION SELECT concat('s:', r_name) FROM region"),
 }

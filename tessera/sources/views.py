@@ -50,6 +50,8 @@ TABLES = {
     "turn": ("conversations", "SELECT conv_id AS c, turn AS t, role FROM conversations"),
     # a cyclic graph: each part points at two others
     "edge": ("part", "SELECT p_partkey AS a, (p_partkey * 7 + 3) % 401 AS b FROM part WHERE p_partkey < 401 UNION SELECT p_partkey, (p_partkey * 5 + 1) % 401 FROM part WHERE p_partkey < 401 AND p_partkey % 3 = 0"),
+    # a cyclic graph over all parts: blocks of eight with cycles, loops and nodes on none, so that the closure stays linear
+    "link": ("part", "SELECT p_partkey AS a, p_partkey - p_partkey % 8 + (CASE p_partkey % 8 WHEN 7 THEN 7 WHEN 6 THEN 1 ELSE p_partkey % 8 + 1 END) AS b FROM part UNION SELECT p_partkey, p_partkey - p_partkey % 8 + (p_partkey % 8 * 5 + 1) % 8 FROM part WHERE p_partkey % 3 = 0"),
     # a tree: each part under the one of half its key
     "up": ("part", "SELECT p_partkey AS c, CAST(floor(p_partkey / 2) AS BIGINT) AS p FROM part WHERE p_partkey > 0"),
 }
