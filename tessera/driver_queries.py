@@ -83,6 +83,9 @@ PROGRAMS: dict[str, tuple[str, str, str]] = {
     "tc_seeded_end_all": ("link", _TC_ALL + "?- tc(X, 5).", _LINKED + "SELECT a AS x FROM tc WHERE b = 5"),
     "tc_sideways_all": ("link region", _TC_ALL + '?- region(R, "ASIA"), tc(R, Y).', _LINKED + "SELECT CAST(r_regionkey AS BIGINT) AS r, b AS y FROM tc JOIN region ON a = r_regionkey WHERE r_name = 'ASIA'"),
     "stratified_all": ("link", _TC_ALL + "loop(X) :- tc(X, X). node(X) :- link(X, _). ?- node(X), !loop(X).", _LINKED + "SELECT DISTINCT a AS x FROM edge WHERE a NOT IN (SELECT a FROM tc WHERE a = b)"),
+    "between_gen_all": ("part", "?- part(P, _, _, _, S), between(S, 5, X).", "SELECT p_partkey AS p, CAST(p_size AS BIGINT) AS s, CAST(x AS BIGINT) AS x FROM part, range(0, 6) t(x) WHERE x >= p_size"),
+    # spans grow with the line number: equal lengths never contain each other
+    "containment_all": ("li", "?- span(P, A, B), span(P, C, D), A <= C, D <= B, A < C. span(P, A, B) :- li(A, L, P, _, _, _), K = L * 300, B = A + K.", "WITH span AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS a, CAST(l_orderkey + 300 * l_linenumber AS BIGINT) AS b FROM lineitem) SELECT x.p, x.a, x.b, y.a AS c, y.b AS d FROM span x JOIN span y ON x.p = y.p AND x.a <= y.a AND y.b <= x.b AND x.a < y.a"),
     "ground_goal": ("region", '?- region(_, "ASIA").', "SELECT true AS holds WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA')"),
     "mixed_column": ("region", "v(X) :- region(X, _). v(N) :- region(_, N). ?- v(X).", "SELECT concat('i:', r_regionkey) AS x FROM region UNION SELECT concat('s:', r_name) FROM region"),
 }
