@@ -20,24 +20,35 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, materialize
 
-#: A few very common words of each language make enough chains and a cheap pattern.
-ANCHORS = "the a is to of and in der die und das von le la les des et el los las que y en de".split()
+#: Very common words of each language.
+ANCHORS = (
+    "the of and to a in is it that was for on as with be by at are this from or an which but not he she they we you his her its their has have had will would there been were can all more if no "
+    "der die das und ist von zu den mit sich auf für im nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde "
+    "le la les de des et en un une du que qui dans est pour pas au sur par plus avec ne se ce il sont ou sa son aux mais comme elle ont "
+    "el los las y una por con para su al lo más pero sus este sí porque esta entre cuando muy sin sobre ser también me hasta hay donde"
+).split()
 
 
 def chains(text: Column) -> Column:
     """The sorted distinct chains of a text, as 32-bit numbers."""
     whole = F.coalesce(text, F.lit(""))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    runs = F.split(plain, f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )")  # what stands before the first anchor, and after each
+    anchors = sorted(set(ANCHORS))
     once = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))  # noqa: E731  evaluates a once
+    number = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    plain = F.trim(F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "))
+    # "." before the first word, nothing in place of an anchor; a long list of constants is looked up as a hash set
+    words = F.transform(F.split(F.concat(F.lit(". "), plain), " "), lambda w: F.when(w.isin(anchors), "").otherwise(w))
 
-    def of(r: Column) -> Column:
-        first = lambda c, n: F.substring_index(c, " ", n)
-        two = lambda c, i: F.when(c.contains(" "), first(c, 2)).otherwise(F.concat_ws(" ", c, first(F.coalesce(F.get(r, i + 1), F.lit("")), 1)))
-        return F.transform(F.transform(r, two), lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    def content(w: Column) -> Column:
+        """The words that are no anchors, those right after an anchor with a leading space."""
+        n = F.size(w) - 1
+        return F.filter(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when((a == "") & (b != ""), F.concat(F.lit(" "), b)).otherwise(b)), lambda b: b != "")
 
-    after = F.filter(F.transform(once(runs, lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))), lambda c: F.trim(c)), lambda c: c != "")
-    return once(once(after, of), lambda c: F.when(F.size(c) > 0, F.sort_array(F.array_distinct(c))).otherwise(F.array(F.xxhash64(whole).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    def of(c: Column) -> Column:
+        chain = lambda b, i: F.when(b.startswith(" "), number(F.concat_ws(" ", F.ltrim(b), F.ltrim(F.coalesce(F.get(c, i + 1), F.lit(""))))))
+        return F.filter(F.transform(c, chain), lambda x: x.isNotNull())
+
+    return once(once(once(words, content), of), lambda c: F.when(F.size(c) > 0, F.sort_array(F.array_distinct(c))).otherwise(F.array(number(whole))))
 
 
 def fingerprint(c: Column) -> Column:

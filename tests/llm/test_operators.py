@@ -259,6 +259,25 @@ def test_fingerprints(docs, empty, spark):
     assert one.near_next == 1.0
 
 
+def test_chains_of_the_whole_list_of_anchors(spark):
+    assert len(set(spotsigs.ANCHORS)) == 162
+    rng = random.Random(3)
+    some = ["was", "with", "für", "nicht", "pour", "être", "más", "donde", "the", "a", "cat", "Dog", "Haus", "l'eau", "x9", "-", "...", "été", "THEIR"]
+    texts = [None, "", " ", "the", "the of", "cat", "cat was dog", "was cat", "?was the cat. Dog!", *(" ".join(rng.choices(some, k=rng.randint(1, 40))) for _ in range(200))]
+
+    def plain(t):
+        words = re.findall(r"[^\W_]+", (t or "").lower())
+        content = [(w, i > 0 and words[i - 1] in spotsigs.ANCHORS) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+        return {f"{w} {content[i + 1][0] if i + 1 < len(content) else ''}" for i, (w, after) in enumerate(content) if after} or {t or ""}
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    number = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    want = spark.createDataFrame([(i, sorted(plain(t))) for i, t in enumerate(texts)], "doc_id int, c array<string>").select("doc_id", F.sort_array(F.transform("c", number)).alias("want"))
+    for r in df.select("doc_id", spotsigs.chains(F.col("text")).alias("got")).join(want, "doc_id").collect():
+        assert r.got == r.want, texts[r.doc_id]
+    assert "INSET" in df.select(spotsigs.chains(F.col("text")))._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
 def test_buckets_of_the_order(spark):
     df = spark.range(0, 500, 3).selectExpr("id doc_id", "cast(id as string) text")
     from tessera.llm.common import keyed
