@@ -4,10 +4,12 @@ A sparse logistic regression over words and word pairs, trained on the driver fr
 and variations of them, tells licence families and an unknown class apart; its temperature is calibrated
 on variations left out of the training. A predicted family is only reported if the paragraph also shares
 enough word pairs with one of the family's templates. The scan itself runs on DataFrame functions alone:
-the weights are a constant map of bounded size, looked up for the few paragraphs that hold enough words
-of any template.
+the weights are a constant map of bounded size, looked up for the few paragraphs that hold a word pair
+without which no template can be reached.
 
-Defined results: paragraphs are lines; null and empty texts have none; every row is judged for itself.
+Defined results: a line that is a notice for itself is a paragraph. Of other lines, those up to a blank line
+or a notice are read on, 24 words on each side of a line break, until they make a notice, which ends there;
+so a wrapped notice counts once. Null and empty texts have none; every row is judged for itself.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ OTHER = [
 ]
 COMMON = set("the of and to in is it that was for on as with be by a an or this at any are you can may its from under all der die und den von zu das mit sich le la les de des et en un une du el los que y una con".split())
 LEAST_OVERLAP, LEAST_PROBABILITY = 0.6, 0.5
+#: Words on each side of a line break: more than the longest template has.
+AROUND = 24
 
 
 def _tokens(text: str) -> list[str]:
@@ -50,6 +54,16 @@ def _grams(tokens: list[str]) -> list[str]:
     return [*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))]
 
 
+def _gate(pairs: dict[str, list[list[str]]]) -> list[str]:
+    """Word pairs of which a paragraph holds one at least if it overlaps enough with any template: of each template, so
+    many of its pairs that not all can be missing, those without common words first."""
+    gate: set[str] = set()
+    for t in (t for family in pairs.values() for t in family):
+        need = next(k for k in range(len(t) + 1) if k >= LEAST_OVERLAP * len(t))
+        gate |= set(sorted(t, key=lambda g: (sum(w in COMMON for w in g.split()), g))[: len(t) - need + 1])
+    return sorted(gate)
+
+
 def train(templates: dict[str, list[str]] | None = None, seed: int = 0) -> dict:
     """families, weights (gram to a weight for each family and the unknown class, last), bias, and the word pairs of each template."""
     templates = templates or TEMPLATES
@@ -84,7 +98,7 @@ def train(templates: dict[str, list[str]] | None = None, seed: int = 0) -> dict:
     t = min(np.arange(0.3, 2.01, 0.05), key=loss)
     weights = {g: [round(float(v), 5) for v in w[i] * t] for g, i in at.items() if np.abs(w[i]).max() > 0}
     pairs = {f: [sorted({f"{a} {b}" for a, b in zip(q, q[1:])}) for q in map(_tokens, templates[f])] for f in families}
-    return {"families": families, "weights": weights, "bias": [float(v) for v in b * t], "pairs": pairs, "gate": sorted(set(known) - COMMON - {w for w in known if len(w) < 2})}
+    return {"families": families, "weights": weights, "bias": [float(v) for v in b * t], "pairs": pairs, "gate": _gate(pairs)}
 
 
 def _constant(value, kind: str) -> Column:
@@ -118,9 +132,24 @@ def scored(paragraph: Column, model: dict) -> Column:
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """doc_id, n_licences (paragraphs), families (sorted, joined by commas) and probability (the best) of each row of docs."""
     model = model or train()
-    gate = rf"(?i)(?<![a-z0-9])(?:{'|'.join(model['gate'])})(?![a-z0-9]).*?(?<![a-z0-9])(?:{'|'.join(model['gate'])})(?![a-z0-9])"
-    lines = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda p: p.rlike(gate))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.transform(lines, lambda p: scored(p, model)), lambda s: s["family"].isNotNull()).alias("found"))
+    gate = rf"(?<![a-z0-9])(?:{'|'.join(g.replace(' ', '[^a-z0-9]+') for g in model['gate'])})(?![a-z0-9])"
+    once = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))  # noqa: E731  evaluates a once
+    verdict = lambda p: F.when(p.rlike(gate), scored(p, model))
+    last = lambda p: F.substring_index(p, " ", -AROUND)
+    none = F.array().cast("array<struct<family: string, probability: double>>")
+
+    def step(acc: Column, line: Column) -> Column:
+        """tail (words read since the last notice or blank line) and found, after one more line."""
+        joined = F.when(acc["tail"] != "", F.concat(acc["tail"], F.lit(" "), F.substring_index(line, " ", AROUND)))
+        sure = lambda v: F.when(v["family"].isNotNull(), v)
+        hit = F.coalesce(sure(verdict(line)), sure(verdict(joined)))
+        tail = F.when(line == "", F.lit("")).otherwise(F.trim(last(F.concat(acc["tail"], F.lit(" "), line))))
+        return once(hit, lambda h: F.when(h.isNull(), F.struct(tail.alias("tail"), acc["found"].alias("found"))).otherwise(F.struct(F.lit("").alias("tail"), F.concat(acc["found"], F.array(h)).alias("found"))))
+
+    text = F.lower(F.col("text").cast("string"))
+    lines = lambda t: F.transform(F.split(t, "\r\n|\r|\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    read = lambda t: F.aggregate(lines(t), F.struct(F.lit("").alias("tail"), none.alias("found")), step)["found"]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), once(text, lambda t: F.when(t.rlike(gate), read(t)).otherwise(none)).alias("found"))
     return found.select(
         "doc_id",
         F.size("found").cast("long").alias("n_licences"),

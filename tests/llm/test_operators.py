@@ -342,3 +342,22 @@ def test_licences(spark, empty):
     got = {r.doc_id: (r.n_licences, r.families) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, "mit"), 2: (1, "cc-by-nc"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (2, "apache-2.0,mit"), 7: (1, "gpl-3.0"), 8: (0, "")}
     assert licences.scan(empty).count() == 0
+
+
+def test_licences_over_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    apache, mit = "Licensed under the Apache\nLicense, Version 2.0.", "Permission is hereby\ngranted, free of charge,\nto any person\nobtaining a copy\nof this software"
+    noise = " ".join(f"w{i}" for i in range(300))
+    want = {
+        gpl: (1, "gpl-3.0"), gpl.replace("\n", "\r\n"): (1, "gpl-3.0"), "# " + gpl.replace("\n", "\n#   "): (1, "gpl-3.0"), apache: (1, "apache-2.0"), mit: (1, "mit"), f"{apache}\n{apache}": (2, "apache-2.0"),
+        f"{noise} {apache} {noise}": (1, "apache-2.0"), f"{noise}\n{gpl}\n{noise}\n\n{mit}\n{noise}": (2, "gpl-3.0,mit"), f"{apache}\nReleased under the MIT License.\n{apache}": (3, "apache-2.0,mit"),
+        apache.replace("\n", "\n\n"): (0, ""), "CC BY 4.0": (1, "cc-by"), f"{noise}\n{noise}": (0, ""), "the general\npublic may obtain\na copy": (0, ""),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    texts = list(want)
+    assert {texts[r.doc_id]: (r.n_licences, r.families) for r in licences.scan(df).collect()} == want
+    # the gate never drops what overlaps enough
+    model, rng = licences.train(), random.Random(5)
+    for t in (t for family in model["pairs"].values() for t in family):
+        need = next(k for k in range(len(t) + 1) if k >= licences.LEAST_OVERLAP * len(t))
+        assert all(set(rng.sample(t, need)) & set(model["gate"]) for _ in range(200))
