@@ -1,4 +1,4 @@
-"""Near-duplicate groups by SuperMinHash signatures, banding, verification and union-find.
+"""Near-duplicate groups by SuperMinHash signatures, banding, verification and label propagation.
 
 Every shingle draws the ranks of a permutation one after another; rank j fills one place of the
 signature with j plus a random fraction. A document stops as soon as no later rank can lower a place.

@@ -1,10 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by exact hashes of word windows.
 
-The reference is the corpus itself, in blocks of 20 consecutive words, each indexed by a 128-bit hash
-with the place where it starts first. A document is factored greedily from the left: a factor starts at
-a word whose block the index knows from an earlier place, and it grows word by word while the next
-block is known as well, from whichever reference block; so the blocks across the end of a factor are
-checked before it ends. Factors have a block's length at least and are the duplicate spans.
+The reference is the corpus itself, in blocks of 20 consecutive words, each indexed by a 128-bit hash with
+the document where it occurs first; its place there is not kept. A word is a duplicate if it lies in any
+block that occurs earlier, so the duplicate spans are unions of such blocks and have a block's length at
+least. Hashes are compared and no text is referenced: this is no relative Lempel-Ziv parse, whose factors
+would have to be extended at one place of the reference each.
 
 Blocks are only indexed where they can repeat. Each block has an anchor, the run of 8 words in it with
 the smallest hash; an equal block has an equal anchor, so blocks whose anchor occurs once in the corpus
