@@ -212,6 +212,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
 
 
 def deduplicate(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs with the first document of each group only."""
-    gone = near_duplicates(docs, size, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs with the first document of each group only.
+
+    Where rows share a doc_id, rows are numbered in the order of doc_id and text and judged by number: each goes or stays
+    by its own text, and of equal texts one stays. Rows without doc_id or without words all stay."""
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeats:
+        gone = near_duplicates(docs, size, threshold).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.col("text").cast("string"), 256).alias("sha"), F.to_json(row).alias("json"), row.alias("row"))
+    order = order.repartitionByRange("id", "sha", "json").sortWithinPartitions("id", "sha", "json")
+    number = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialize(order.select(number.alias("number"), "row"), "numbered")
+    gone = near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), size, threshold).where("not kept").select(F.col("doc_id").alias("number"))
+    return rows.join(gone, "number", "left_anti").select("row.*")

@@ -220,6 +220,16 @@ def test_minhash(docs, empty, size, threshold):
     assert minhash.deduplicate(docs, size, threshold).schema == docs.schema
 
 
+def test_deduplicate_with_repeated_ids(spark):
+    base, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = base + " more"
+    rows = [(1, base, "x"), (2, near, "x"), (2, other, "x"), (3, third, "x"), (3, third, "x"), (3, third, "y"), (4, "", "x"), (4, None, "x"), (None, base, "x"), (None, base, "x"), (5, third.upper(), "x"), (6, "some words of its own here", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = minhash.deduplicate(df, 5, 0.8)
+    want = [(1, base, "x"), (2, other, "x"), (3, third, "x"), (4, "", "x"), (4, None, "x"), (None, base, "x"), (None, base, "x"), (6, "some words of its own here", "x")]
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_minhash_chain_of_links(spark):
     rng, base = random.Random(9), [f"w{i}" for i in range(200)]
     rows = []
