@@ -24,19 +24,25 @@ FENCE, ENOUGH = 3.0, 200
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def repeated_words(w: Column, n: Column) -> Column:
+def repeated_words(w: Column, n: Column, bits: int | None = None) -> Column:
     """Words in 3-word windows that stand twice or more in the array w of n words.
 
-    The windows' hashes, with their places in the low bits, are sorted; equal neighbours repeat. The
-    hash keeps 64 bits less those of the place."""
-    bits = F.length(F.bin(n))
+    The windows' hashes, with their places in the low bits, are sorted; equal neighbours whose
+    words are equal too repeat. The hash keeps 64 bits less those of the place (bits, if given)."""
+    bits = F.length(F.bin(n)) if bits is None else F.lit(bits)
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
     s = F.sort_array(hashes)
     high = lambda x: F.call_function("shiftright", x, bits)
-    keys = lambda a: F.filter(
-        F.transform(a, lambda x, i: F.when((high(x) == high(F.get(a, i - 1))) | (high(x) == high(F.get(a, i + 1))), x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1))),
-        lambda x: x.isNotNull(),
-    )
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+    same = lambda x, y: (high(x) == high(y)) & (F.get(w, place(x)) == F.get(w, place(y))) & (F.get(w, place(x) + 1) == F.get(w, place(y) + 1)) & (F.get(w, place(x) + 2) == F.get(w, place(y) + 2))
+
+    def repeats(a: Column, x: Column, i: Column) -> Column:
+        near = lambda f: F.coalesce(f(x, F.get(a, i - 1)), F.lit(False)) | F.coalesce(f(x, F.get(a, i + 1)), F.lit(False))
+        equal = near(lambda p, q: high(p) == high(q))
+        # other windows may stand between two equal ones of the same hash
+        return F.when(~equal, False).when(near(same), True).otherwise(F.exists(a, lambda y: (y != x) & same(x, y)))
+
+    keys = lambda a: F.filter(F.transform(a, lambda x, i: F.when(repeats(a, x, i), place(x).cast("long"))), lambda x: x.isNotNull())
     within = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))  # noqa: E731  evaluates a once
     covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1), x + 3) - x, F.lit(3).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(within(s, lambda a: within(F.sort_array(keys(a)), covered)))

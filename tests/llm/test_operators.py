@@ -371,3 +371,16 @@ def test_licences_over_lines(spark):
     for t in (t for family in model["pairs"].values() for t in family):
         need = next(k for k in range(len(t) + 1) if k >= licences.LEAST_OVERLAP * len(t))
         assert all(set(rng.sample(t, need)) & set(model["gate"]) for _ in range(200))
+
+
+@pytest.mark.parametrize("bits", [None, 54, 60])
+def test_repeated_words_with_equal_hashes(spark, bits):
+    rng = random.Random(11)
+    texts = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 200))] for _ in range(40)]
+
+    def force(w):
+        n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}) if len(w) > 3 else 0
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, w array<string>").select("i", quality.repeated_words(F.col("w"), F.size("w"), bits).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {i: force(w) for i, w in enumerate(texts)}
