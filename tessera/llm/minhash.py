@@ -1,13 +1,14 @@
-"""Near-duplicate groups by SuperMinHash signatures, banding, verification and label propagation.
+"""Near-duplicate groups by SuperMinHash signatures, banding, verification and union-find.
 
 Every shingle draws the ranks of a permutation one after another; rank j fills one place of the
 signature with j plus a random fraction. A document stops as soon as no later rank can lower a place.
 Bands of the signature give candidates; every candidate is confirmed on full shingle sets.
 
 Documents with equal sets are one class and only its first document goes on. In each bucket the
-members are first compared with the bucket's smallest one, and what is then linked is merged. Where a
-bucket still holds several components, the members outside its largest one are compared with all others
-of the bucket, so no pair is left out but those that the merging has already answered.
+members are first compared with the bucket's smallest one, and what is then linked is merged. Members of
+buckets that still hold several components are compared where they have one of their rarest shingles in
+common, which all pairs at the threshold have (prefix filter); pairs within a component need no answer.
+Bands may miss a pair at the threshold with probability 1e-8; the second comparison misses none.
 
 Defined results: a document with fewer words than a shingle has one shingle, its whole sequence; one
 without words has none and links with nothing; a row without doc_id links with nothing, has no
@@ -135,25 +136,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
-    """node and component (its smallest reachable node), by spreading labels over links and jumping to the label of the label.
+def forests(links: DataFrame) -> DataFrame:
+    """Links a, b (a the smaller) of a union-find forest of each batch of links: the same components with fewer links."""
 
-    nodes has node; links has a and b. Only nodes of links take part in the rounds."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most):
-        heard = edges.join(label, edges.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        near = label.join(heard, "node").select("node", F.least("label", "heard").alias("new"), F.col("label").alias("old"))
-        jump = near.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        now = materialize(near.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), "old"), "labels")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                root = x
+                while up.setdefault(root, root) != root:
+                    root = up[root]
+                while up[x] != root:
+                    up[x], x = root, up[x]
+                return root
+
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = sorted((find(a), find(b)))
+                up[b] = a
+            links_ = [(find(x), x) for x in list(up)]
+            a, b = zip(*((r, x) for r, x in links_ if r != x)) if any(r != x for r, x in links_) else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(nodes: DataFrame, links: DataFrame, hub: int = 2048) -> DataFrame:
+    """node and component (its smallest reachable node): union-find within each batch of links, whose forests are then
+    joined by spreading labels over their links and jumping to the label of the label, until nothing changes.
+
+    nodes has node; links has a and b. Only nodes of links take part in the rounds, whose number grows with the log of a
+    component's diameter. The links of a node with more than `hub` of them are dealt by salts, its label is copied to each."""
+    forest = materialize(forests(links), "forest")
+    both = forest.union(forest.select("b", "a")).distinct()
+    degree = both.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count("*") / hub).cast("int").alias("salts"))
+    salts = materialize(degree.where("salts > 1"), "hubs")
+    edges = both.join(salts.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    edges = materialize(edges, "edges")
+    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    label = materialize(label.join(salts, "node", "left").select("node", "label", F.coalesce("salts", F.lit(1)).alias("salts")), "labels")
+    while True:
+        copies = label.select(F.col("node").alias("b"), "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        heard = edges.join(copies, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        near = materialize(label.join(heard, "node").select("node", F.least("label", "heard").alias("new"), F.col("label").alias("old"), "salts"), "heard")
+        own = near.select(F.col("node").alias("new"), F.col("new").alias("further")).where("further < new")
+        jump = near.select("new").distinct().join(own, "new")  # only labels that have a lower label themselves
+        now = materialize(near.join(jump, "new", "left").select("node", F.coalesce("further", "new").alias("label"), "old", "salts"), "labels")
         changed = now.where("label < old").limit(1).count()
-        discard(label)
-        label = now.select("node", "label")
+        discard(label, near)
+        label = now.select("node", "label", "salts")
         if not changed:
             break
-    else:
-        raise RuntimeError("the components have not settled")
-    return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    discard(forest, salts, edges)
+    return nodes.join(label.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def candidates_by_smallest(bucketed: DataFrame, percent: int) -> DataFrame:
@@ -168,16 +203,55 @@ def _sizes(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def candidates_left(bucketed: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """In buckets with several components: pairs of the nodes outside the largest one with the other components' nodes."""
+def open_nodes(bucketed: DataFrame, component: DataFrame) -> DataFrame:
+    """node and component of the members of buckets that hold several components."""
     known = bucketed.join(component, "node")
-    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialize(known.join(largest, "bucket").select("bucket", "node", "component", "n_shingles", "largest"), "open")
-    few = open_.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("na"))
-    rest = open_.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("nb"))
-    pairs = few.join(rest, "bucket").where(F.col("cx") != F.col("cy")).where(_sizes(percent))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    parts = known.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several")
+    return known.join(parts.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
+
+
+CELLS = 1 << 20
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each of CELLS hash cells occur: a bounded table that puts all shingles in one order, rare ones first."""
+    cell = F.pmod(F.col("shingle"), F.lit(CELLS)).cast("int").alias("cell")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(cell).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    out = np.zeros(CELLS, dtype=np.int32)
+    for batch in counts.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+    """node, n_shingles, shingle for the rarest shingles of each set: two sets at the threshold have one of these in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, often[flat & (CELLS - 1)], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = place < np.repeat(n + (-percent * n // 100) + 1, n)  # n - ceil(percent n / 100) + 1
+            node = batch.column(0).to_numpy()[owner[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n[owner[first]]), pa.array(flat[order][first])], names=["node", "n_shingles", "shingle"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n_shingles long, shingle long")
+
+
+def candidates_left(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of several components that may still be linked: those that have one of their rarest shingles in common.
+
+    What many documents share is left to the end of every prefix, so a common passage makes no pairs; no pair at the
+    threshold is left out. sets are those of the open nodes only."""
+    rows = materialize(prefixes(sets, rarity(sets), percent).join(component, "node"), "prefixes")
+    mixed = rows.groupBy("shingle").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("shingle")
+    rows = rows.join(mixed, "shingle", "left_semi")
+    x = rows.select("shingle", F.col("node").alias("a"), F.col("component").alias("cx"), F.col("n_shingles").alias("na"))
+    y = rows.select("shingle", F.col("node").alias("b"), F.col("component").alias("cy"), F.col("n_shingles").alias("nb"))
+    return x.join(y, "shingle").where("cx <> cy and a < b").where(_sizes(percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -199,11 +273,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     collect_garbage(spark)
     links = materialize(confirmed(candidates_by_smallest(shared, percent), sets, percent), "links")
     component = materialize(components(nodes, links), "components")
-    left = materialize(candidates_left(shared, component, percent), "left")
-    if left.limit(1).count():
-        more = materialize(confirmed(left, sets, percent), "more")
+    still = materialize(open_nodes(shared, component), "open")
+    if still.limit(1).count():
+        of_open = materialize(sets.join(still.select("node"), "node", "left_semi"), "open-sets")
+        left = materialize(candidates_left(of_open, still, percent), "left")
+        more = materialize(confirmed(left, of_open, percent), "more")
         if more.limit(1).count():
             component = materialize(components(nodes, links.union(more)), "components")
+        discard(of_open, left)
     discard(sets, shared)
     whole = classes.join(component, "node").select("digest", "component")
     out = rows.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(whole, "digest", "left")

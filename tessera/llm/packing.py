@@ -3,11 +3,12 @@
 Pieces are dealt over partitions, each of which runs best-fit decreasing and computes a lower bound on
 its sequences from dual-feasible functions. A partition that meets its bound is certified and final.
 The others keep their full sequences and exchange the pieces of the rest: these are dealt anew among
-all partitions with a gap and packed again, while that lowers the count.
+all partitions with a gap and packed again, until all are certified, two exchanges in a row have not
+lowered the count, or six rounds are over.
 
 Defined results: a null or empty text is one piece of its end token; repeated rows are packed each;
-an empty table gives no rows. A document longer than the capacity is cut so that its first piece
-takes what is left over.
+an empty table gives no rows; columns but doc_id and text are not looked at. A document longer than the
+capacity is cut so that its first piece takes what is left over, into any number of pieces.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import codec, default_path
-from tessera.llm.common import materialize, slices, texts_of
+from tessera.llm.common import discard, materialize, slices, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,7 +100,8 @@ def _packed(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFra
         fill = np.bincount(bins, weights=n, minlength=made).astype(np.int64)
         return pdf.assign(bin=bins, offset=offsets, fill=fill[bins], gap=made - dual_bound(np.bincount(n, minlength=capacity + 1), capacity))
 
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("group", F.lit(salt * 2**20) + F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # eight rounds at most and fewer than 2**32 groups each: no two groups share a number
+    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("group", F.lit(salt * 2**32) + F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(one, f"{PIECES}, group long, bin long, offset long, fill long, gap long")
 
 
@@ -108,19 +110,26 @@ def _bins(df: DataFrame) -> int:
     return df.where("offset = 0").count()
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 16384, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 16384, rounds: int = 6) -> DataFrame:
     """pieces with sequence_id, offset and certified (their partition met its bound).
 
     pieces must be a table that can be read again. A task holds about per_partition pieces."""
+    if not 1 <= rounds <= 8:
+        raise ValueError("one to eight rounds")
     done: list[DataFrame] = []
     todo, total = pieces, pieces.count()
-    best = None  # packing of what is still open
+    best, idle = None, 0  # packing of what is still open; exchanges in a row that have lowered nothing
     for k in range(rounds):
         new = materialize(_packed(todo, max(1, math.ceil(total / per_partition)), k, capacity), f"packing-{k}")
         if best is not None and _bins(new) >= _bins(best):
-            break  # the exchange has not lowered the count: the packing before it stands
+            discard(new)  # the packing before it stands; the same pieces are dealt once more with another salt
+            idle += 1
+            if idle == 2:
+                break
+            continue
         if best is not None:
             done.pop()
+        idle = 0
         final, best = new.where(f"gap = 0 or fill = {capacity}"), new.where(f"gap > 0 and fill < {capacity}")
         done += [final, best]
         todo, total = best, best.count()
@@ -129,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 16384, ro
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("group") * 2**32 + F.col("bin")).alias("sequence_id"), "offset", (F.col("gap") == 0).alias("certified"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("group") * 2**28 + F.col("bin")).alias("sequence_id"), "offset", (F.col("gap") == 0).alias("certified"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, per_partition: int = 16384) -> DataFrame:
