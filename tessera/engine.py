@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 from importlib import resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schema
@@ -16,15 +18,18 @@ from tessera.errors import QueryError, Status, invalid
 from tessera.plans.check import check, reachable, stratify
 from tessera.plans.compile import name_of
 from tessera.plans.evaluate import Evaluation
-from tessera.plans.syntax import Const, Rule, atoms, goal_columns, parse
+from tessera.plans.syntax import MOST_INT, Const, Rule, atoms, goal_columns, parse
 
 
 @dataclass(frozen=True)
 class Limits:
+    """Of an answer's rows and bytes; of rows derived: those of written predicates, of each round and of the goal's body
+    before duplicates go, refused once they are counted; of time, at which running jobs are cancelled. None: no limit."""
+
     rows: int | None = 1000
     bytes: int | None = 262_144
     derived: int | None = 10_000_000
-    milliseconds: int | None = None
+    milliseconds: int | None = 60_000
 
 
 @dataclass
@@ -54,6 +59,33 @@ class Answer:
         return int(not self.status.answered)
 
 
+class Timed:
+    """Cancels the Spark jobs started within it after so many milliseconds; over tells whether it has."""
+
+    def __init__(self, spark: SparkSession, milliseconds: int | None):
+        self.sc, self.tag, self.over = spark.sparkContext, f"tessera-{uuid.uuid4().hex}", False
+        self.timer = None if milliseconds is None else threading.Timer(milliseconds / 1000, self.stop)
+        if milliseconds == 0:
+            raise QueryError(Status.TIMEOUT, "the time is over")
+
+    def stop(self) -> None:
+        self.over = True
+        self.sc.cancelJobsWithTag(self.tag)
+
+    def __enter__(self) -> Timed:
+        self.sc.addJobTag(self.tag)
+        if self.timer:
+            self.timer.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.timer:
+            self.timer.cancel()
+        self.sc.removeJobTag(self.tag)
+        if self.over and _[0] is None:
+            raise QueryError(Status.TIMEOUT, "the time is over")
+
+
 def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
 
@@ -73,13 +105,15 @@ class Engine:
         self.scip_ingested, self.stale, self.root = True, False, ""
         if code:
             for name in schema.RELATIONS:
-                self.insert_relation(name, spark.createDataFrame([], schema.ddl(name)))
+                self.insert_relation(name, spark.createDataFrame([], schema.ddl(name)), trusted=True)
             self.load_rules(stdlib())
 
     # -- what queries read
 
-    def insert_relation(self, name: str, df: DataFrame, distinct: bool = False) -> None:
-        """Installs or replaces a base relation: strings and integers only. distinct: drop duplicate rows now."""
+    def insert_relation(self, name: str, df: DataFrame, distinct: bool = False, trusted: bool = False) -> None:
+        """Installs or replaces a base relation: strings and integers only. distinct: drop duplicate rows now.
+
+        Nulls and integers outside the range are refused, for which the rows are read once; trusted: known to have none."""
         types, columns = [], []
         for i, f in enumerate(df.schema.fields):
             kind = f.dataType.simpleString()
@@ -88,6 +122,11 @@ class Engine:
             types.append("str" if kind == "string" else "int")
             columns.append(F.col(f"`{f.name}`").cast("string" if kind == "string" else "bigint").alias(f"c{i}"))
         out = df.select(*columns)
+        if not trusted and columns:
+            bad = [F.count_if(F.col(c).isNull() | (~F.col(c).between(0, MOST_INT) if t == "int" else F.lit(False))).alias(c) for c, t in zip(out.columns, types)]
+            for f, n in zip(df.schema.fields, out.agg(*bad).first()):
+                if n:
+                    raise invalid(f"column `{f.name}` of `{name}` has {n} values that are null or outside 0..{MOST_INT}")
         self.warm = {}
         self.base[name] = (out.distinct() if distinct else out), types
 
@@ -133,13 +172,14 @@ class Engine:
         stratify(rules)
         return rules, goal, goal_columns(goal), shadowed
 
-    def evaluate(self, text: str, seeds: bool = True) -> tuple[DataFrame, list[str], Evaluation, dict]:
+    def evaluate(self, text: str, seeds: bool = True, watch: bool = False) -> tuple[DataFrame, list[str], Evaluation, dict]:
         rules, goal, columns, shadowed = self.plan(text)
         deadline = None if self.limits.milliseconds is None else time.monotonic() + self.limits.milliseconds / 1000
-        if deadline is not None and not self.limits.milliseconds:
-            raise QueryError(Status.TIMEOUT, "the time is over")
         ev = Evaluation(self.spark, rules, self.base, self.limits.derived, deadline, seeds, None if parse(text).rules else self.warm)
         env = ev.goal(goal)
+        if watch:
+            ev.answer = Observation()
+            env.df = env.df.observe(ev.answer, F.count(F.lit(1)).alias("n"))
         if columns:
             df = env.df.select(*(F.col(name_of(c)).alias(c) for c in columns)).distinct()
         else:
@@ -155,18 +195,25 @@ class Engine:
     def query(self, text: str, limit: int | None = None, raw: bool = True) -> Answer:
         """The answer in the order of its rendered rows, cut at the limits."""
         try:
-            df, columns, ev, info = self.evaluate(text)
-            most = limit if limit is not None else self.limits.rows
-            rows = self.rendered(df, columns, raw) if columns else df.select()
-            if columns:
-                rows = rows.orderBy(*(F.col(c).cast("string") for c in rows.columns))
-            got = [tuple(r) for r in (rows if most is None else rows.limit(most + 1)).collect()]
+            with Timed(self.spark, self.limits.milliseconds) as clock:
+                return self.answer(text, limit, raw)
         except QueryError as e:
             return Answer(e.status, hint=str(e), root=self.root)
         except Exception as e:
+            if clock.over:
+                return Answer(Status.TIMEOUT, hint=f"no answer in {self.limits.milliseconds} ms", root=self.root)
             if "invalid-query:" not in str(e):
                 raise
             return Answer(Status.INVALID_QUERY, hint=str(e).partition("invalid-query:")[2].splitlines()[0].strip(), root=self.root)
+
+    def answer(self, text: str, limit: int | None, raw: bool) -> Answer:
+        df, columns, ev, info = self.evaluate(text, watch=True)
+        most = limit if limit is not None else self.limits.rows
+        rows = self.rendered(df, columns, raw) if columns else df.select()
+        if columns:
+            rows = rows.orderBy(*(F.col(c).cast("string") for c in rows.columns))
+        got = [tuple(r) for r in (rows if most is None else rows.limit(most + 1)).collect()]
+        ev.spend(ev.answered())
         for k in (columns.index(c) for c in info.pop("mixed")):
             got = [(*r[:k], int(r[k][2:]) if r[k][:2] == "i:" else r[k][2:], *r[k + 1 :]) for r in got]
         cap = None

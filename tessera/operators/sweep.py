@@ -6,20 +6,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def innermost_enclosing(spans: DataFrame, group: str, key: str, start: str, end: str) -> DataFrame:
-    """group, key, owner (null: none). One pass over each group's spans, by start and then longest first, with those still open; spans may cross.
+def owners(starts: list[int], ends: list[int]) -> list[int | None]:
+    """For each span, the place of its owner: by start and then longest first, the last one before it that still runs at
+    its start. Of equal spans the one given earlier is the outer one. Each span is pushed and popped once."""
+    out: list[int | None] = [None] * len(starts)
+    stack: list[int] = []
+    for i in sorted(range(len(starts)), key=lambda i: (starts[i], -ends[i], i)):
+        while stack and ends[stack[-1]] <= starts[i]:
+            stack.pop()
+        out[i] = stack[-1] if stack else None
+        stack.append(i)
+    return out
+
 
-    Equal spans don't enclose each other; a group is one file's declarations."""
+def innermost_enclosing(spans: DataFrame, group: str, key: str, start: str, end: str) -> DataFrame:
+    """group, key, owner (null: none). A group is one file's declarations, in the order of key."""
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, key], ascending=[True, False, True], ignore_index=True)
-        owners, stack = [], []
-        for k, a, b in zip(pdf[key], pdf[start], pdf[end]):
-            stack = [x for x in stack if x[2] > a]  # the others end before
-            around = [(x - y, x, o) for o, x, y in stack if y >= b and (x, y) != (a, b)]
-            owners.append(max(around)[2] if around else None)  # the narrowest; of equals the last one
-            stack.append((k, a, b))
-        return pdf[[group, key]].assign(owner=owners)
+        pdf = pdf.sort_values(key, ignore_index=True)
+        keys = pdf[key].tolist()
+        return pdf[[group, key]].assign(owner=[None if o is None else keys[o] for o in owners(pdf[start].tolist(), pdf[end].tolist())])
 
     kinds = dict(spans.dtypes)
     return spans.select(group, key, start, end).groupBy(group).applyInPandas(sweep, f"{group} {kinds[group]}, {key} {kinds[key]}, owner {kinds[key]}")

@@ -158,8 +158,8 @@ class BodyCompiler:
 
     def number(self, t, env: Env, op: str) -> Column:
         c, kind = self.operand(t, env)
-        if kind == STR:
-            raise invalid(f"`{op}` needs integers, and {t.name if isinstance(t, Var) else t.value!r} is a string")
+        if kind == STR:  # an error only if a row gets there
+            return F.raise_error(F.lit(f"invalid-query: `{op}` needs integers, and {t.name if isinstance(t, Var) else t.value!r} is a string")).cast("bigint")
         return c if kind == INT else F.coalesce(convert(c, MIX, INT), F.raise_error(F.lit(f"invalid-query: `{op}` needs integers")).cast("bigint"))
 
     def compare(self, lit: Compare, env: Env) -> Column:

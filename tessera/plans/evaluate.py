@@ -13,7 +13,7 @@ from tessera.errors import QueryError, Status
 from tessera.plans.check import components, is_recursive
 from tessera.plans.compile import BodyCompiler, Env
 from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, atoms, map_terms, variables
-from tessera.plans.tables import materialize
+from tessera.plans.tables import counted, materialize, observed
 from tessera.plans.types import convert, infer
 
 COMPACT = 8  # rounds after which the deltas so far become one table
@@ -35,7 +35,7 @@ class Evaluation:
         wide = {r.head.name for r in rules if sum(1 for _ in atoms(r.body)) > 1}
         self.shared = {n for n in wide if used[n] >= SHARED and n not in self.recursive}
         self.most_derived, self.deadline, self.derived, self.rounds, self.seeded = most_derived, deadline, 0, 0, []
-        self.fresh = 0
+        self.fresh, self.answer = 0, None
 
     def empty(self, name: str) -> DataFrame:
         kinds = ", ".join(f"c{i} {'bigint' if t == 'int' else 'string'}" for i, t in enumerate(self.types[name]))
@@ -52,27 +52,31 @@ class Evaluation:
         if a.name in self.base:
             return self.base[a.name]
         consts = tuple(t if isinstance(t, Const) else None for t in a.args)
-        if a.name in self.recursive:
-            bound = [k for k, t in enumerate(a.args) if isinstance(t, Const) or isinstance(t, Var) and env.narrowed and env.df is not None and t.name in env.types]
-            if self.use_seeds and bound and not isinstance(at, tuple):
-                found = self.from_seeds(a, bound, env)
-                if found is not None:
-                    return found
-            return self.closure(a.name)
-        return self.instance(a.name, consts)
-
-    def instance(self, name: str, consts: tuple) -> tuple[DataFrame, list[str]]:
-        """A predicate without recursion, with its constants put into its clauses, so that they reach every scan."""
-        if name in self.shared:
-            consts = (None,) * len(consts)  # computed once as a whole, whoever asks
-        key = (name, consts)
-        if key not in self.done and key in self.warm:
-            self.done[key] = self.warm[key]
-        if key not in self.done:
+        if a.name not in self.recursive:
+            return self.instance(a.name, consts)
+        bound = [k for k, t in enumerate(a.args) if isinstance(t, Const) or isinstance(t, Var) and env.narrowed and env.df is not None and t.name in env.types]
+        if self.use_seeds and bound and not isinstance(at, tuple):
+            found = self.from_seeds(a, bound, env)
+            if found is not None:
+                return found
+        return self.closure(a.name)
+
+    def instance(self, name: str, consts: tuple, keep: bool = False) -> tuple[DataFrame, list[str]]:
+        """A predicate without recursion, with its constants put into its clauses, so that they reach every scan.
+
+        What is used often, or kept for the rounds of a fixpoint, is written: as a whole where nothing is bound, else
+        what the constants leave of it."""
+        none = (None,) * len(consts)
+        for key in ((name, none), (name, consts)):
+            if key in self.warm:
+                return self.warm[key]  # finished as a whole, or with the same constants
+        written = name in self.shared or keep
+        if key not in self.done or written:
             parts = [self.clause(r) for r in map(lambda r: specialize(r, consts), self.rules_of({name})) if r]
             df = reduce(DataFrame.unionByName, parts).distinct() if parts else self.empty(name)
-            if name in self.shared:
-                df = materialize(df, name)
+            if written:
+                df, n = counted(df, name)
+                self.spend(n)
                 self.warm[key] = df, self.types[name]
             self.done[key] = df, self.types[name]
         return self.done[key]
@@ -81,6 +85,12 @@ class Evaluation:
         c = BodyCompiler(self.spark, resolve or self.resolve)
         return c.head(r.head, c.run(r.body, first=first), self.types[r.head.name])
 
+    def invariant(self, a: Atom, at, env: Env) -> tuple[DataFrame, list[str]]:
+        """What every round of a fixpoint reads and none changes: joins are done once and written, not planned anew each round."""
+        if a.name in self.base or a.name in self.recursive:
+            return self.resolve(a, at, env)
+        return self.instance(a.name, tuple(t if isinstance(t, Const) else None for t in a.args), keep=True)
+
     def closure(self, name: str) -> tuple[DataFrame, list[str]]:
         if (name, "all") in self.warm:
             return self.warm[name, "all"]
@@ -108,7 +118,7 @@ class Evaluation:
 
                     def rows(a, at, env, place=place):
                         if a.name not in inside:
-                            return self.resolve(a, at, env)
+                            return self.invariant(a, at, env)
                         return (delta[a.name] if at == place else everything(a.name)), self.types[a.name]
 
                     made[r.head.name].append(self.clause(r, rows, first=place))
@@ -120,8 +130,7 @@ class Evaluation:
                 if kept[n]:
                     old = everything(n).select(*(F.col(c).alias(f"o{c}") for c in new.columns))
                     new = new.join(old, reduce(lambda x, y: x & y, (F.col(c) == F.col(f"o{c}") for c in new.columns)), "left_anti")
-                new = materialize(new, n.replace("@", "_"))
-                size = new.count()
+                new, size = counted(new, n.replace("@", "_"))
                 self.spend(size)
                 if size:
                     fresh[n] = new
@@ -143,6 +152,10 @@ class Evaluation:
         if self.deadline is not None and time.monotonic() > self.deadline:
             raise QueryError(Status.TIMEOUT, "the time is over")
 
+    def answered(self) -> int:
+        """Rows of the goal's body, once its answer has been computed."""
+        return (observed(self.answer) or 0) if self.answer is not None else 0
+
     def from_seeds(self, a: Atom, bound: list[int], env: Env) -> tuple[DataFrame, list[str]] | None:
         """The part of a recursive predicate that the bound places ask for, by magic sets; None where they can't be passed on."""
         name = a.name

@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only in local mode with none set."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
@@ -25,3 +28,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/relations/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """materialize(), and the number of rows, which the write itself counts."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    n = observed(seen)
+    return out, out.count() if n is None else n
+
+
+def observed(seen: Observation) -> int | None:
+    """The count of an observation once its action is over; None where the planner found nothing to run."""
+    try:
+        n = seen._jo.getOrEmpty().get("n")
+        return n.get() if n.isDefined() else None
+    except Py4JJavaError:  # no row at all came of it
+        return None

@@ -1,9 +1,15 @@
 """The driver's tables as relations: projections of each, and a code graph with the 16 base relations.
 
-CODE is portable between Spark SQL and DuckDB; the oracles start from it."""
+CODE is portable between Spark SQL and DuckDB; the oracles start from it. Every row of lineitem is a reference: those
+of four in forty orders may lie in any file, the others lie in the file of the part that they refer to."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import schema
@@ -23,15 +29,15 @@ parent AS (SELECT s AS child, CASE WHEN slot > 0 AND p_size % 2 = 0 THEN concat(
 visibility AS (SELECT s, CASE p % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' ELSE 'inherited' END AS vis FROM pt),
 resolved AS (SELECT s FROM pt WHERE p % 5 <> 0),
 def_doc AS (SELECT s, p_type AS doc FROM pt WHERE p % 4 = 0),
-occ AS (SELECT l_orderkey % 40 AS b, l_orderkey % 80 AS c, l_partkey AS p, file.f AS f, CAST(10 * l_linenumber AS BIGINT) AS line, l_orderkey % 97 AS col, concat('sym ', CAST(CASE WHEN l_partkey % 50 = 7 THEN l_partkey WHEN l_partkey % 50 = 11 THEN l_partkey + 1 WHEN l_partkey % 50 = 12 THEN l_partkey - 1 WHEN l_partkey % 10 IN (3, 4, 6) THEN l_partkey - 1 ELSE (l_partkey * 31 + l_linenumber * 7) % np END AS STRING)) AS fr, l_returnflag AS flag FROM lineitem CROSS JOIN cnt JOIN file ON file.k = l_suppkey),
-scip_ref AS (SELECT DISTINCT concat('sym ', CAST(p AS STRING)) AS s, f, line, col, fr, CASE WHEN line = 70 AND p % 29 = 1 THEN 'test' WHEN flag = 'A' THEN 'read' WHEN flag = 'N' THEN 'unknown' ELSE 'write' END AS role FROM occ WHERE b = 0 AND p % 5 <> 0 UNION SELECT concat('ext ', CAST(p % 20 AS STRING)), f, line, col, fr, 'read' FROM occ WHERE b = 2),
-name_ref AS (SELECT DISTINCT pt.name, occ.f, line, col, fr FROM occ JOIN pt ON pt.p = occ.p WHERE b = 1 OR c = 0),
+occ AS (SELECT l_orderkey % 40 AS b, l_orderkey % 80 AS c, l_partkey AS p, CASE WHEN l_orderkey % 40 < 4 THEN file.f ELSE home.f END AS f, CAST(10 * l_linenumber AS BIGINT) AS line, l_orderkey % 97 AS col, CASE WHEN l_orderkey % 40 >= 4 AND l_partkey % 10 <> 5 THEN home.f WHEN l_orderkey % 40 >= 4 THEN concat('sym ', CAST(l_partkey AS STRING)) ELSE concat('sym ', CAST(CASE WHEN l_partkey % 50 = 7 THEN l_partkey WHEN l_partkey % 50 = 11 THEN l_partkey + 1 WHEN l_partkey % 50 = 12 THEN l_partkey - 1 WHEN l_partkey % 10 IN (3, 4, 6) THEN l_partkey - 1 ELSE (l_partkey * 31 + l_linenumber * 7) % np END AS STRING)) END AS fr, l_returnflag AS flag FROM lineitem CROSS JOIN cnt JOIN file ON file.k = l_suppkey JOIN file home ON home.k = l_partkey % ns),
+scip_ref AS (SELECT DISTINCT concat('sym ', CAST(p AS STRING)) AS s, f, line, col, fr, CASE WHEN line = 70 AND p % 29 = 1 THEN 'test' WHEN flag = 'A' THEN 'read' WHEN flag = 'N' THEN 'unknown' ELSE 'write' END AS role FROM occ WHERE (b = 0 OR b >= 4 AND b % 2 = 0) AND p % 5 <> 0 UNION SELECT concat('ext ', CAST(p % 20 AS STRING)), f, line, col, fr, 'read' FROM occ WHERE b = 2),
+name_ref AS (SELECT DISTINCT pt.name, occ.f, line, col, fr FROM occ JOIN pt ON pt.p = occ.p WHERE b = 1 OR c = 0 OR b >= 4 AND b % 2 = 1),
 extern AS (SELECT DISTINCT concat('ext ', CAST(o_custkey % 20 AS STRING)) AS s, 'cargo' AS manager, concat('pkg', CAST(o_custkey % 5 AS STRING)) AS package, '1.0' AS version FROM orders),
-import AS (SELECT DISTINCT f, concat(CASE p % 3 WHEN 0 THEN 'db::' WHEN 1 THEN 'ui::' ELSE 'std::' END, 'm', CAST(p % 30 AS STRING)) AS module, CASE WHEN p % 10 = 0 THEN 'al' ELSE '' END AS alias FROM occ WHERE b = 3),
+import AS (SELECT DISTINCT f, concat(CASE p % 3 WHEN 0 THEN 'db::' WHEN 1 THEN 'ui::' ELSE 'std::' END, 'm', CAST(p % 30 AS STRING)) AS module, CASE WHEN p % 10 = 0 THEN 'al' ELSE '' END AS alias FROM occ WHERE b = 3 OR b >= 4 AND b % 4 = 3),
 name_impl AS (SELECT DISTINCT a.f, a.name AS type, t.name AS trait, 5 + 10 * a.slot AS line FROM pt a JOIN pt t ON t.p = (a.p * 13) % a.np WHERE a.kind = 'struct' AND t.kind IN ('trait', 'struct')),
 scip_impl AS (SELECT DISTINCT a.s, t.s AS t FROM pt a JOIN pt t ON t.p = (a.p * 17) % a.np WHERE a.kind = 'struct' AND t.kind = 'trait' AND a.p % 2 = 0),
 name_export AS (SELECT DISTINCT f, name FROM pt WHERE p % 11 = 0),
-def_name AS (SELECT s, 2 + 10 * slot AS line, CAST(4 AS BIGINT) AS col FROM pt),
+def_name AS (SELECT s, 10 + 10 * (slot % 7) AS line, p % 97 AS col FROM pt),
 def_sig AS (SELECT s, concat(kind, ' ', name) AS sig FROM pt)
 """
 
@@ -48,15 +54,13 @@ TABLES = {
     "doc": ("documents", "SELECT doc_id AS d, lang, source AS src FROM documents"),
     "label": ("labels", "SELECT doc_id AS d, quality AS q, toxic AS tox FROM labels"),
     "turn": ("conversations", "SELECT conv_id AS c, turn AS t, role FROM conversations"),
-    # a cyclic graph: each part points at two others
-    "edge": ("part", "SELECT p_partkey AS a, (p_partkey * 7 + 3) % 401 AS b FROM part WHERE p_partkey < 401 UNION SELECT p_partkey, (p_partkey * 5 + 1) % 401 FROM part WHERE p_partkey < 401 AND p_partkey % 3 = 0"),
     # a cyclic graph over all parts: blocks of eight with cycles, loops and nodes on none, so that the closure stays linear
-    "link": ("part", "SELECT p_partkey AS a, p_partkey - p_partkey % 8 + (CASE p_partkey % 8 WHEN 7 THEN 7 WHEN 6 THEN 1 ELSE p_partkey % 8 + 1 END) AS b FROM part UNION SELECT p_partkey, p_partkey - p_partkey % 8 + (p_partkey % 8 * 5 + 1) % 8 FROM part WHERE p_partkey % 3 = 0"),
+    "edge": ("part", "SELECT p_partkey AS a, p_partkey - p_partkey % 8 + (CASE p_partkey % 8 WHEN 7 THEN 7 WHEN 6 THEN 1 ELSE p_partkey % 8 + 1 END) AS b FROM part UNION SELECT p_partkey, p_partkey - p_partkey % 8 + (p_partkey % 8 * 5 + 1) % 8 FROM part WHERE p_partkey % 3 = 0"),
     # a tree: each part under the one of half its key
     "up": ("part", "SELECT p_partkey AS c, CAST(floor(p_partkey / 2) AS BIGINT) AS p FROM part WHERE p_partkey > 0"),
 }
 #: Derived, all relations and no cap: the driver wants whole results.
-LIMITS = Limits(rows=None, bytes=None, derived=None)
+LIMITS = Limits(rows=None, bytes=None, derived=None, milliseconds=None)
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
@@ -70,7 +74,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     for n in names or TABLES:
         table, sql = TABLES[n]
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        e.insert_relation(n, spark.sql(sql))
+        e.insert_relation(n, spark.sql(sql), trusted=True)
     return e
 
 
@@ -79,17 +83,59 @@ def relation(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"WITH {CODE} SELECT {columns} FROM {name}")
 
 
-_ENGINES: dict[tuple[str, str], Engine] = {}
+#: What most relations are made of; written before them, so that each table is read and joined once.
+STEPS = ("file", "pt", "occ")
+
+
+def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The 16 relations, written out. Those that don't depend on each other are written at the same time."""
+    register(spark, sf_dir)
+    parts = dict(re.findall(r"^(\w+) AS (\(.*?\)),?$(?=\n\w+ AS |\s*\Z)", CODE.strip(), re.M | re.S))
+    made: dict[str, DataFrame] = {}
+    tag = uuid.uuid4().hex
+    source = lambda n: f"{n} AS (SELECT * FROM tessera_{tag}_{n})" if n in made else f"{n} AS {parts[n]}"
+
+    def write(name: str) -> DataFrame:
+        columns = "f, lang" if name == "file" and "occ" in made else "*"
+        return materialize(spark.sql(f"WITH {', '.join(map(source, parts))} SELECT {columns} FROM {name}"), name)
+
+    try:
+        for name in STEPS:
+            df = write(name)
+            df.createOrReplaceTempView(f"tessera_{tag}_{name}")
+            made[name] = df
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(schema.RELATIONS, pool.map(inheritable_thread_target(spark)(write), schema.RELATIONS)))
+    finally:
+        for name in made:
+            spark.catalog.dropTempView(f"tessera_{tag}_{name}")
 
 
-def code(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the code graph, with the rule library. The relations are written out once for each folder, and
-    the engine stays warm."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _ENGINES:
-        register(spark, sf_dir)
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of every file of the tables: what is kept of them is stale once this differs."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+_ENGINES: dict[tuple[str, str], tuple[tuple, Engine]] = {}
+
+
+def code(spark: SparkSession, sf_dir: str, warm: bool = True) -> Engine:
+    """An engine over the code graph, with the rule library. The relations are written out once for each state of the
+    folder's files; the engine stays warm, or with warm=False forgets what earlier queries have finished."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), version(spark, sf_dir)
+    if key not in _ENGINES or _ENGINES[key][0] != now:
         e = Engine(spark, LIMITS, code=True)
-        for n in schema.RELATIONS:
-            e.insert_relation(n, materialize(relation(spark, n), n))
-        _ENGINES[key] = e
-    return _ENGINES[key]
+        for n, df in relations(spark, sf_dir).items():
+            e.insert_relation(n, df, trusted=True)
+        _ENGINES[key] = now, e
+    e = _ENGINES[key][1]
+    if not warm:
+        e.warm = {}
+    return e
