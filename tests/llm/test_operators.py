@@ -369,7 +369,7 @@ def test_licences_over_lines(spark):
     # the gate never drops what overlaps enough
     model, rng = licences.train(), random.Random(5)
     for t in (t for family in model["pairs"].values() for t in family):
-        need = next(k for k in range(len(t) + 1) if k >= licences.LEAST_OVERLAP * len(t))
+        need = licences.needed(len(t))
         assert all(set(rng.sample(t, need)) & set(model["gate"]) for _ in range(200))
 
 
@@ -384,3 +384,38 @@ def test_repeated_words_with_equal_hashes(spark, bits):
 
     df = spark.createDataFrame(list(enumerate(texts)), "i int, w array<string>").select("i", quality.repeated_words(F.col("w"), F.size("w"), bits).alias("n"))
     assert {r.i: r.n for r in df.collect()} == {i: force(w) for i, w in enumerate(texts)}
+
+
+#: Notices in other words than the templates', and texts that speak of licences without being one.
+PARAPHRASES = [
+    ("MIT License", "mit"), ("Licence MIT", "mit"), ("This project is available under the MIT license; see LICENSE.", "mit"), ("(c) 2019 A. Person. MIT licensed.", "mit"), ("License: MIT (see below)", "mit"), ("Code under the MIT licence, docs elsewhere", "mit"),
+    ("Permission is granted hereby, free of charge, to any person obtaining a copy of the software", "mit"), ("The copyright notice above and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ("ISC License", "isc"), ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+    ("Apache License 2.0", "apache-2.0"), ("Distributed under Apache License, Version 2.0 (the license)", "apache-2.0"), ("Unless required by applicable law or agreed to in writing, this software is distributed on an AS IS BASIS", "apache-2.0"), ("# you may not use these files except in compliance with the License.", "apache-2.0"),
+    ("GNU General Public License v2", "gpl-2.0"), ("see the GNU General Public License, version 2, for details", "gpl-2.0"), ("GNU General Public License v3 or later", "gpl-3.0"), ("This program is free software; you may redistribute it under the terms of the GNU General Public License", "gpl-3.0"),
+    ("This program is distributed in the hope it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of fitness", "gpl"), ("You should have got a copy of the GNU General Public License along with this program.", "gpl"),
+    ("Covered by the GNU Lesser General Public License, 2.1", "lgpl"), ("GNU Affero General Public License v3", "agpl-3.0"), ("BSD 3-Clause License", "bsd"), ("new BSD license text follows", "bsd"), ("Redistribution and use in source or binary forms, with or without modification, is permitted", "bsd"),
+    ("Redistributions of source code must keep the above copyright notice, this list of conditions and the following disclaimer.", "bsd"), ("Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived", "bsd"),
+    ("This code is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("Eclipse Public License 2.0", "epl-2.0"), ("This is unencumbered and free software released into the public domain.", "public-domain"), ("CC0 1.0 applies", "public-domain"),
+    ("Photo under CC BY 4.0.", "cc-by"), ("text: CC BY-SA 3.0", "cc-by-sa"), ("CC BY-NC 4.0 (no shops)", "cc-by-nc"), ("Licensed under the Creative Commons Attribution-ShareAlike 4.0 International licence", "cc-by-sa"),
+    ("Copyright 2020 The Firm. All rights reserved.", "proprietary"), ("Proprietary and confidential - do not share", "proprietary"),
+]
+PLAIN = [
+    "A fishing licence is needed in the public parks of the city.", "He studied at MIT and took a license to drive.", "The Apache people lived there; version 2.0 of the map shows it.", "The general public may obtain a copy of the report free of charge.", "Permission to enter is granted to any person with a ticket.",
+    "Without any warranty of success he went on.", "The rights of the author were reserved for all time.", "The software is free and the source is open, they say.", "This work is licensed to no one.", "The eclipse was seen by the public; no license was required.", "creative people share common ground", "redistribution of wealth in source countries",
+]
+
+
+def test_licences_in_other_words(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PARAPHRASES)] + [(1000 + i, t) for i, t in enumerate(PLAIN)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan(df).collect()}
+    missed = [(t, f, got[i]) for i, (t, f) in enumerate(PARAPHRASES) if got[i] != f]
+    assert len(missed) <= len(PARAPHRASES) // 10, missed
+    assert not [t for i, t in enumerate(PLAIN) if got[1000 + i]]
+
+
+def test_licences_of_long_and_repeated_rows(spark):
+    line = "word " * 200_000 + "Released under the MIT License. " + "word " * 10
+    rows = [(1, line, "x"), (1, line, "x"), (None, "MIT License", "y")]
+    got = [tuple(r)[:3] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, families string")).collect()]
+    assert sorted(got, key=str) == [(1, 1, "mit"), (1, 1, "mit"), (None, 1, "mit")]
