@@ -1,15 +1,17 @@
 """Quality rules with adaptive thresholds.
 
 The measures of every text are computed with DataFrame functions. Mergeable quantile sketches (KLL) of
-each measure, per language and source, replace fixed cutoffs: a group's own sketch where it has enough
-documents, else the merged sketch of its language, else that of all groups. The thresholds are joined
-to the documents and those beyond them go.
+each measure, per language and source, replace fixed cutoffs. A group's quantiles lean on those of its language,
+and these on those of all groups, the more the fewer documents there are: n of them weigh n / (n + LEAN), the
+sketches above the rest, so nothing switches at any size. The thresholds are joined to the documents and those
+beyond them go.
 
 A threshold is the third quartile plus FENCE times the spread of the quartiles, where the spread counts
 as LEAST of the measure at least, so that groups without any spread keep what differs a little.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources
 are groups of their own; repeated rows count each; measures are rows' own and never depend on their order.
+Columns of any name are kept as they are. Very long texts are measured whole, in memory of a few times their size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, words
 
 MEASURES = {"symbols_per_word": 0.1, "dup_lines_per_word": 0.02, "repeats_per_word": 0.1, "chars_per_word": 4.0}
-FENCE, ENOUGH = 3.0, 200
+FENCE, LEAN = 3.0, 200
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -79,8 +81,9 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lang = merged(["_lang"])
     every = merged([]).select(*(F.col(f"{m}_up").alias(f"{m}_all") for m in MEASURES))
     joined = own.join(lang.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")), "left").join(every, F.lit(True), "left")
-    pick = lambda m: F.when(F.col("n") >= ENOUGH, F.col(m)).when(F.col("n_up") >= ENOUGH, F.col(f"{m}_up")).otherwise(F.col(f"{m}_all"))
-    q = lambda m, at: F.kll_sketch_get_quantile_double(pick(m), F.lit(at))
+    at_rank = lambda sketch, rank: F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
+    lean = lambda n, own, above: (own * F.col(n) + above * LEAN) / (F.col(n) + LEAN)
+    q = lambda m, rank: lean("n", at_rank(m, rank), lean("n_up", at_rank(f"{m}_up", rank), at_rank(f"{m}_all", rank)))
     limit = lambda m, least: q(m, 0.75) + FENCE * F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(least))
     return joined.select("_lang", "_source", *(limit(m, least).alias(f"most_{m}") for m, least in MEASURES.items()))
 

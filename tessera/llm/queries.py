@@ -53,4 +53,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_substring, op4_urls, op5_bpe, op6_quality, op7_resampling, op8_licences, op9_minhash, op10_fingerprints)}
+def spotsigs_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of op10 compared: partitions by length, pruned Jaccard."""
+    return spotsigs.near_classes(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_substring, op4_urls, op5_bpe, op6_quality, op7_resampling, op8_licences, op9_minhash, op10_fingerprints, spotsigs_near)}

@@ -7,6 +7,7 @@ the log weights and the largest k kept is a sample without replacement in propor
 Defined results: null and empty texts have log weight 0. The noise comes from the text and the id, so
 equal rows get equal keys and runs agree; rows with the key of the k-th are all kept. Without labels the
 target is the raw model and the sample is uniform. k is the share of good labels times the rows.
+Texts of any length are read whole; columns but doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             for part in slices(batch):
                 texts = texts_of(part)
                 bucket, doc = _buckets(texts, memo)
-                w = np.bincount(doc, weights=ratio[bucket], minlength=len(texts))
+                w = np.bincount(doc, weights=ratio[bucket], minlength=len(texts)).astype(np.float64)  # whole numbers if there is no word at all
                 ids = np.array([LAST if d is None else d for d in part.column(0).to_pylist()], dtype=np.int64).view(np.uint64)
                 own = np.array([xxhash.xxh64_intdigest(t, seed=seed) for t in texts], dtype=np.uint64)
                 u = ((mix(own ^ mix(ids, seed)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53

@@ -7,7 +7,8 @@ lengths meet that can reach the threshold, and joins on each set's rarest chains
 
 Defined results: case and punctuation don't count; a text without any anchor (or empty, or null) has
 its whole text as the only chain, so equal texts have equal fingerprints. Documents are ordered by
-descending doc_id, null ids first, then by a hash of the text; a single row is its own next document.
+descending doc_id, null ids first, then by a hash of the text; a single row is its own next document. Texts of
+any length are read whole; columns but doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -62,10 +63,11 @@ def likeness(a: Column, b: Column) -> Column:
     return both.cast("double") / (F.size(a) + F.size(b) - both)
 
 
-def in_order(docs: DataFrame, per_bucket: int = 1000, most: int = 4096) -> DataFrame:
+def in_order(docs: DataFrame, per_bucket: int = 1000, most: int = 65_536) -> DataFrame:
     """docs (with _key) with bucket: consecutive ranges of _key of about equal numbers of rows; and the table of copies.
 
-    A copy is a row that also stands in another bucket, as the next one of that bucket's last row."""
+    A copy is a row that also stands in another bucket, as the next one of that bucket's last row. Beyond most * per_bucket
+    rows the buckets grow: one task sorts each on disk, and the cuts that the driver holds stay bounded."""
     n = docs.count()
     buckets = max(1, min(most, math.ceil(n / per_bucket)))
     cuts = sorted(set(docs.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or [])) if buckets > 1 and n else []
@@ -119,3 +121,10 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     sets = lambda c: classes.select(F.col("class").alias(c), F.col("chains").alias(f"s{c}"))
     pairs = met.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(f"likeness >= {threshold}")
     return rows.join(classes, "chains").select("doc_id", "class"), pairs
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class (first doc_id with the same fingerprint) and n_links (other classes at the threshold or above) of each document."""
+    member, pairs = near_pairs(docs, threshold)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return member.join(ends, "class", "left").select("doc_id", "class", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))

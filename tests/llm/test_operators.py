@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, licences, minhash, packing, quality, resampling, spotsigs, substring, toxicity, urls
@@ -305,6 +306,8 @@ def test_near_pairs(docs):
     assert {(r.doc_id, r["class"]) for r in member.collect()} == {(d, first[s]) for d, s in sets.items()}
     want = {frozenset((first[a], first[b])) for a, b in combinations(first, 2) if len(a & b) >= 0.8 * len(a | b)}
     assert {frozenset((r.a, r.b)) for r in pairs.collect()} == want and want
+    links = Counter(c for pair in want for c in pair)
+    assert {(r.doc_id, r["class"], r.n_links) for r in spotsigs.near_classes(docs, 0.8).collect()} == {(d, first[s], links[first[s]]) for d, s in sets.items()}
 
 
 def test_toxicity(spark, empty):
@@ -419,3 +422,154 @@ def test_licences_of_long_and_repeated_rows(spark):
     rows = [(1, line, "x"), (1, line, "x"), (None, "MIT License", "y")]
     got = [tuple(r)[:3] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, families string")).collect()]
     assert sorted(got, key=str) == [(1, 1, "mit"), (1, 1, "mit"), (None, 1, "mit")]
+
+
+def test_fingerprints_by_force(spark):
+    """Every column against plain Python, over texts of four languages, empty ones, a long one and one without anchors."""
+    rng = random.Random(8)
+    some = [*rng.sample(spotsigs.ANCHORS, 30), *(word(rng) for _ in range(80)), "Été,", "l'eau", "!!"]
+    texts = [None, "", "x", "cat dog", *(" ".join(rng.choices(some, k=rng.randint(1, 150))) for _ in range(60)), " ".join(rng.choices(some, k=30_000))]
+    texts[7] = texts[8]
+    rows = [(i * 7 % 101, t, "x") for i, t in enumerate(texts)]
+
+    def chains(t):
+        words = re.findall(r"[^\W_]+", t.lower())
+        content = [(w, i > 0 and words[i - 1] in spotsigs.ANCHORS) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+        found = {f"{w} {content[i + 1][0] if i + 1 < len(content) else ''}" for i, (w, after) in enumerate(content) if after} or {t}
+        return {xxhash.xxh64_intdigest(c.encode(), seed=42) & 0xFFFFFFFF for c in found}
+
+    show = lambda c: "".join(f"{x:08x}" for x in sorted(c))
+    near = lambda a, b: len(a & b) / len(a | b)
+    want, ordered = {}, sorted(rows, reverse=True)
+    for i, (d, t, _) in enumerate(ordered):
+        t, after = t or "", ordered[(i + 1) % len(ordered)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = chains(t), chains(edited), chains(after)
+        want[d] = (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), near(a, b), near(a, c))
+    got = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, chains string")).collect()
+    assert {r.doc_id: tuple(r) for r in got} == want
+
+
+def test_quality_thresholds_by_force(spark):
+    """kept of every row against exact quantiles: groups small enough that their sketches are exact, with nulls among them."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        kind = rng.choice([("en", "web"), ("en", "web"), ("en", "book"), ("de", "web"), (None, "web"), ("de", None)])
+        w = [word(rng) + str(rng.randrange(10**6)) for _ in range(rng.randint(50, 90))]
+        if rng.random() < 0.2:
+            w[:20] = ["###"] * rng.randint(1, 20)
+        if rng.random() < 0.2:
+            w += w[:6] * rng.randint(1, 3)
+        rows.append((i, " ".join(w) + ("\nsame line" * rng.randint(1, 9) if rng.random() < 0.2 else ""), *kind))
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    value = {"symbols_per_word": lambda r: r.n_symbols / r.n_words, "dup_lines_per_word": lambda r: r.n_dup_lines / r.n_words, "repeats_per_word": lambda r: r.n_repeat_words / r.n_words, "chars_per_word": lambda r: r.word_chars / r.n_words}
+
+    def most(m, lang, source):
+        good = [(lang_, source_, value[m](out[i])) for i, _, lang_, source_ in rows if not out[i].base_failed]
+        levels = [[v for a, b, v in good if (a, b) == (lang, source)], [v for a, _, v in good if a == lang], [v for *_, v in good]]
+        rank = lambda v, q: sorted(v)[max(0, int(np.ceil(q * len(v) - 1e-9)) - 1)]
+        q = {}
+        for at in (0.25, 0.75):
+            x = rank(levels[2], at)
+            for v in (levels[1], levels[0]):
+                x = (rank(v, at) * len(v) + x * quality.LEAN) / (len(v) + quality.LEAN)
+            q[at] = x
+        return q[0.75] + quality.FENCE * max(q[0.75] - q[0.25], quality.MEASURES[m])
+
+    for i, _, lang, source in rows:
+        r = out[i]
+        assert r.kept == (not r.base_failed and all(value[m](r) <= most(m, lang, source) + 1e-12 for m in value)), i
+    assert 10 < sum(not r.kept for r in out.values()) < 100
+
+
+def test_quality_sketches_of_large_groups(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice("ab"), "s", 100, 0, 0, 0, rng.randrange(40, 900), False) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "_lang string, _source string, n_words long, n_symbols long, n_dup_lines long, n_repeat_words long, word_chars long, base_failed boolean").repartition(7)
+    for r in quality.thresholds(df).collect():
+        v = sorted(x[6] / 100 for x in rows if x[0] == r._lang)
+        low, high = (lambda d: v[int(len(v) * (0.75 + d))] + quality.FENCE * max(v[int(len(v) * (0.75 + d))] - v[int(len(v) * (0.25 - d))], quality.MEASURES["chars_per_word"]))(-0.03), (lambda d: v[int(len(v) * (0.75 + d))] + quality.FENCE * max(v[int(len(v) * (0.75 + d))] - v[int(len(v) * (0.25 - d))], quality.MEASURES["chars_per_word"]))(0.03)
+        assert low <= r.most_chars_per_word <= high
+
+
+def test_repeated_words_of_a_very_long_text(spark):
+    rng = random.Random(14)
+    w = [f"w{rng.randrange(3000)}" for _ in range(120_000)]
+    n = Counter(zip(w, w[1:], w[2:]))
+    want = len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)})
+    r = quality.quality(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_repeat_words) == (120_000, want)
+
+
+def test_resampling_weights_by_force(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(["aa", "Bb", "cc", "dd", "é"]) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(None, "aa Bb"), (3, "cc"), (50, None)]
+    good = {i for i in range(0, 40, 3)}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=17) for w in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()]
+        pairs = [(a + (0x8CB92BA72F3D8DD7 | 1) * b) % 2**64 for a, b in zip(h, h[1:])]
+        return [x % resampling.BUCKETS for x in [*h, *resampling.mix(np.array(pairs, dtype=np.uint64)).tolist()]]
+
+    raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    for d, t in rows:
+        for b in grams(t):
+            raw[b] += 1
+            target[b] += d in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    want = sorted(((-1 if d is None else d), round(sum(ratio[b] for b in grams(t)), 9)) for d, t in rows)
+    out = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.5).collect()
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), round(r.log_weight, 9)) for r in out) == want
+    noise = np.array([r.key - r.log_weight for r in out])
+    assert sum(r.kept for r in out) >= round(0.5 * len(rows)) and np.isfinite(noise).all()
+    many = resampling.weigh(spark.range(20_000).selectExpr("id doc_id", "'' text"), np.zeros(resampling.BUCKETS), 1).toPandas()["key"]
+    assert abs(many.mean() - 0.5772) < 0.05 and abs(many.var() - np.pi**2 / 6) < 0.1  # the standard Gumbel distribution
+
+
+def test_risk_and_its_gradient():
+    """The gradients against finite differences, and the corrected risk against its formula, also where it is negative."""
+    rng = np.random.default_rng(3)
+    p, u = (rng.random((30, 6)) < 0.5).astype(float), (rng.random((80, 6)) < 0.3).astype(float)
+    soft = lambda z: np.log1p(np.exp(z))
+    for _ in range(20):
+        w, prior = rng.normal(size=7) * 3, rng.uniform(0.05, 0.6)
+        positive, negative, gp, gn = toxicity.risk(w, p, u, prior)
+        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        assert np.isclose(positive, prior * soft(-zp).mean()) and np.isclose(negative, soft(zu).mean() - prior * soft(zp).mean())
+        for k in range(7):
+            d = np.zeros(7)
+            d[k] = 1e-5
+            up, down = toxicity.risk(w + d, p, u, prior), toxicity.risk(w - d, p, u, prior)
+            assert np.isclose((up[0] - down[0]) / 2e-5, gp[k], atol=1e-6) and np.isclose((up[1] - down[1]) / 2e-5, gn[k], atol=1e-6)
+    assert toxicity.risk(np.array([5.0] * 6 + [-10]), np.ones((3, 6)), np.zeros((3, 6)), 0.5)[1] < 0
+
+
+@pytest.mark.parametrize("share", [0.02, 0.1, 0.3])
+def test_class_prior_is_found_without_negatives(share):
+    rng = np.random.default_rng(4)
+    positive = lambda n: np.hstack([rng.random((n, 4)) < 0.7, rng.random((n, 20)) < 0.1]).astype(np.float32)
+    other = lambda n: np.hstack([rng.random((n, 4)) < 0.01, rng.random((n, 20)) < 0.1]).astype(np.float32)
+    n = 4000
+    u = np.vstack([positive(int(n * share)), other(n - int(n * share))])
+    rng.shuffle(u)
+    assert abs(toxicity.class_prior(positive(600), u) - share) < 0.03
+
+
+def test_toxicity_keeps_every_column(spark):
+    bad, rows, labels = ["zorgish", "zorgful"], [], []
+    rng = random.Random(21)
+    for i in range(600):
+        w = [word(rng) + str(rng.randrange(50)) for _ in range(30)]
+        if i % 6 == 0:
+            w[rng.randrange(30)] = rng.choice(bad)
+            w[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(w), f"orig{i}", "p", i, None))
+        labels.append((i, 1, int(i % 6 == 0)))
+    rows += [(1, "other text of the same id", "again", "p", 1, None), (None, None, "null", "p", 1, None), (7, rows[7][1], "orig7", "p", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted string, k0 int, kept boolean")
+    out = toxicity.reject_toxic(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.schema == df.schema
+    got, clean = Counter(map(tuple, out.collect())), Counter(tuple(r) for r in rows if not (r[2].startswith("orig") and r[4] % 6 == 0))
+    assert not got - Counter(rows) and sum((clean - got).values()) < 5 and sum((got - clean).values()) < 5
