@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import tables
+from tessera.plans.tables import shared_dir as shared_dir
+
 #: Key of rows whose doc_id is null: they come after every other document.
 LAST = 2**63 - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -23,29 +25,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only in local mode with none set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        sc.setCheckpointDir(at)
-    return at
+_OPEN, _LOCK = [], threading.Lock()  # what the setting was before the first of the writes that run now
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # its shuffle files go as soon as the table is there
+    """The rows of df from a table in the shared folder: lineage ends here, lost executors cost nothing. Its shuffle
+    files go as soon as the table is there; writes may run at the same time."""
+    conf = df.sparkSession.conf
+    with _LOCK:
+        _OPEN.append(_OPEN[0] if _OPEN else conf.get(CLEANUP, None))
+        conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(at)
+        return tables.materialize(df, name)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(at)
+        with _LOCK:
+            before = _OPEN.pop()
+            if not _OPEN:
+                conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def discard(*tables: DataFrame) -> None:
