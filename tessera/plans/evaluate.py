@@ -32,8 +32,10 @@ class Evaluation:
         self.done: dict[tuple, tuple[DataFrame, list[str]]] = {}
         self.warm = {} if warm is None else warm
         used = Counter(a.name for r in rules for a, _ in atoms(r.body))
-        wide = {r.head.name for r in rules if sum(1 for _ in atoms(r.body)) > 1}
-        self.shared = {n for n in wide if used[n] >= SHARED and n not in self.recursive}
+        self.wide = {r.head.name for r in rules if sum(1 for _ in atoms(r.body)) > 1}
+        while more := {r.head.name for r in rules if any(a.name in self.wide for a, _ in atoms(r.body))} - self.wide:
+            self.wide |= more  # what is made of such predicates
+        self.shared = {n for n in self.wide if used[n] >= SHARED and n not in self.recursive}
         self.most_derived, self.deadline, self.derived, self.rounds, self.seeded = most_derived, deadline, 0, 0, []
         self.fresh, self.answer = 0, None
 
@@ -106,6 +108,11 @@ class Evaluation:
         kept: dict[str, list[DataFrame]] = {n: [] for n in part}
         everything = lambda n: reduce(DataFrame.unionByName, kept[n]) if kept[n] else self.empty(n)
         delta: dict[str, DataFrame | None] = dict.fromkeys(part)
+        for r in rules:  # before the first round, which may read the same
+            if any(isinstance(x, Atom) and x.name in inside for x in r.body):
+                for i, x in enumerate(r.body):
+                    if isinstance(x, Atom) and x.name not in inside | self.recursive and x.name not in self.base:
+                        self.invariant(x, i, Env(None, {}))
         for step in range(10**6):
             made: dict[str, list[DataFrame]] = {n: [] for n in part}
             for r in rules:

@@ -93,11 +93,15 @@ def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     parts = dict(re.findall(r"^(\w+) AS (\(.*?\)),?$(?=\n\w+ AS |\s*\Z)", CODE.strip(), re.M | re.S))
     made: dict[str, DataFrame] = {}
     tag = uuid.uuid4().hex
-    source = lambda n: f"{n} AS (SELECT * FROM tessera_{tag}_{n})" if n in made else f"{n} AS {parts[n]}"
+    source = lambda n: f"(SELECT * FROM tessera_{tag}_{n})" if n in made else parts[n]
+
+    def needed(name: str) -> set[str]:
+        return {name}.union(*(needed(n) for n in parts if n != name and re.search(rf"\b{n}\b(?! AS)", re.sub(r"'[^']*'", "", source(name)))))
 
     def write(name: str) -> DataFrame:
         columns = "f, lang" if name == "file" and "occ" in made else "*"
-        return materialize(spark.sql(f"WITH {', '.join(map(source, parts))} SELECT {columns} FROM {name}"), name)
+        use = needed(name)
+        return materialize(spark.sql(f"WITH {', '.join(f'{n} AS {source(n)}' for n in parts if n in use)} SELECT {columns} FROM {name}"), name)
 
     try:
         for name in STEPS:
