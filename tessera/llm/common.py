@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.plans import tables
 from tessera.plans.tables import shared_dir as shared_dir
 
-#: Key of rows whose doc_id is null: they come after every other document.
+#: What stands for a doc_id that is null where numbers are needed.
 LAST = 2**63 - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space, which ends a word; everything else is part of one.
@@ -59,8 +59,10 @@ def collect_garbage(spark: SparkSession) -> None:
 
 
 def row_key(df: DataFrame) -> DataFrame:
-    """_key: doc_id, or LAST if null. _tag tells apart rows of one doc_id with different texts."""
-    return df.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tag": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """_key: doc_id; for null ids a number from 2**62 on that comes of the text, so that they follow all other documents
+    and don't meet in one task. _tag tells apart rows of one doc_id with different texts."""
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    return df.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + tag.bitwiseAND(F.lit(2**62 - 1))), "_tag": tag})
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ Blocks are only indexed where they can repeat. Each block has an anchor, the run
 the smallest hash; an equal block has an equal anchor, so blocks whose anchor occurs once in the corpus
 are no candidates. The anchors are a seventh of the words.
 
-Defined results: places are ordered by doc_id, null ids last, then by start. Rows that share a doc_id
+Defined results: places are ordered by doc_id, null ids last in the order of a hash of their text, then by start.
+Texts of any length are read whole; columns of any name are kept as they are. Rows that share a doc_id
 rank equally: a block is earlier only by its start, and equal rows get equal results. A null or empty
 text has no words and nothing to remove.
 """

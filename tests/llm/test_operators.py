@@ -573,3 +573,42 @@ def test_toxicity_keeps_every_column(spark):
     assert out.schema == df.schema
     got, clean = Counter(map(tuple, out.collect())), Counter(tuple(r) for r in rows if not (r[2].startswith("orig") and r[4] % 6 == 0))
     assert not got - Counter(rows) and sum((clean - got).values()) < 5 and sum((got - clean).values()) < 5
+
+
+def test_substring_of_long_texts_and_many_null_ids(spark):
+    rng = random.Random(41)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(5, " ".join(long), "a"), (6, " ".join(long[50_000:50_030]), "b"), (7, None, "c"), (7, "", "c")]
+    rows += [(None, " ".join(f"n{rng.randrange(10**6)}" for _ in range(30)), "d") for _ in range(300)] + [(None, " ".join(long[100:140]), "e"), (None, " ".join(long[100:140]), "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, single string").repartition(5)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.removed(df).collect())
+    assert got == Counter({(5, 120_000, 0): 1, (6, 30, 30): 1, (7, 0, 0): 2, (None, 30, 0): 300, (None, 40, 40): 2})
+    back = substring.deduplicate(df)
+    assert back.schema == df.schema and Counter(r.single for r in back.collect()) == Counter(r[2] for r in rows)
+
+
+def test_urls_of_odd_shapes(spark):
+    long = "http://a.example.net/es/" + "x" * 300_000
+    rows = [(1, long, "r"), (2, "HTTP://Example.COM?a=://b.net/fr/", "r"), (3, "://", "r"), (4, "://net/es/", "r"), (5, "x://fr.net/fr/#", "r"), (6, "http://com/", "r"), (7, "http://notcom/", "r"), (8, "", "r")]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    got = {r.page_id: (r.host, r.path[:8], r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
+    assert got == {1: ("a.example.net", "/es/xxxx", "net/es/", "block"), 2: ("example.com", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("net", "/es/", "net/es/", "block"), 5: ("fr.net", "/fr/", "net/fr/", "block"), 6: ("com", "/", "com/", "allow"), 7: ("notcom", "/", None, "allow"), 8: ("", "", None, "allow")}
+    equal = [("b.org/x/", "block"), ("a.org/x/", "allow")]  # as long as each other: a url fits one of them at most
+    two = spark.createDataFrame([(1, "http://a.org/x/"), (2, "http://b.org/x/"), (3, "http://c.b.org/x/y")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(two, equal, []).collect()} == {1: "allow", 2: "block", 3: "block"}
+
+
+def test_packing_of_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "one two three " * 60_000, 9, "g"), (2, "", 9, "g"), (2, "", 9, "g"), (None, None, 9, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, group string")
+    out = packing.pack_documents(df).collect()
+    mine = sorted((r.piece, r.start, r.length) for r in out if r.doc_id == 1)
+    assert len(mine) > 100 and [p for p, *_ in mine] == list(range(len(mine))) and all(a[1] + a[2] == b[1] for a, b in zip(mine, mine[1:])) and {n for _, _, n in mine[1:]} == {1024}
+    assert sorted((r.doc_id, r.length) for r in out if r.doc_id == 2) == [(2, 1), (2, 1)] and [r.length for r in out if r.doc_id is None] == [1]
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    rows = [(3, "the cat of dogs and men", "x"), (3, "the cat of dogs and men", "x"), (3, "other words of the day", "x"), (None, "the end of it", "x"), (None, "the end of it", "x")]
+    out = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in out) == Counter((d, len(t)) for d, t, _ in rows)
+    assert len({r.fingerprint for r in out}) == 3
