@@ -246,6 +246,12 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(e.base["li"][0].select(F.col("c2").alias("s"), F.col("c3").alias("f")))
 
 
+def collisions_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators.census import collisions_at as of
+
+    return of(code(spark, sf_dir).base["scip_ref"][0].toDF("s", "f", "line", "col", "fr", "role"))
+
+
 _SWEEP = f"""WITH {CODE}, x AS (SELECT d.f, d.s, b1, b2 + 1000 * (l2 - l1) AS b2, row_number() OVER (PARTITION BY d.f ORDER BY b1, b2 + 1000 * (l2 - l1) DESC, d.s) AS k FROM def d JOIN def_span p ON p.s = d.s),
 owned AS (SELECT a.f, a.k, max(b.k) AS o FROM x a JOIN x b ON a.f = b.f AND b.k < a.k AND b.b2 > a.b1 GROUP BY a.f, a.k)
 SELECT x.f, x.s, y.s AS owner FROM x LEFT JOIN owned w ON w.f = x.f AND w.k = x.k LEFT JOIN x y ON y.f = w.f AND y.k = w.o"""
@@ -257,6 +263,7 @@ EXTRA: dict[str, tuple[Callable, str]] = {
     "limit_rows": (limit_rows, "SELECT p_partkey AS p, p_name AS n FROM part WHERE p_brand = 'Brand#11' ORDER BY CAST(p_partkey AS VARCHAR), p_name LIMIT 20"),
     "span_sweep": (span_sweep, _SWEEP),
     "census": (census, f"WITH {CODE} " + " UNION ALL ".join(f"SELECT '{r}' AS what, '' AS value, count(*) AS n FROM {r}" for r in _RELATIONS) + " UNION ALL SELECT 'kind', kind, count(*) FROM def GROUP BY kind UNION ALL SELECT 'role', role, count(*) FROM scip_ref GROUP BY role UNION ALL SELECT 'language', lang, count(*) FROM file GROUP BY lang UNION ALL SELECT 'anchored', '', count(DISTINCT s) FROM def WHERE s IN (SELECT s FROM resolved)"),
+    "collisions_at": (collisions_at, f"WITH {CODE} SELECT f, line, col, count(DISTINCT s) AS n FROM scip_ref GROUP BY f, line, col HAVING count(DISTINCT s) > 1"),
     "collisions": (collisions, "SELECT CAST(l_partkey AS BIGINT) AS s, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1"),
 }
 

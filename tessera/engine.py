@@ -101,6 +101,7 @@ class Engine:
         self.base: dict[str, tuple[DataFrame, list[str]]] = {}
         self.rules: list[Rule] = []
         self.heads: list[set[str]] = []  # of each load
+        self.docs: dict[str, tuple[str, str]] = {}  # signature and meaning of rules that say so
         self.warm: dict = {}  # predicates that are finished, while relations and rules stay
         self.scip_ingested, self.stale, self.root = True, False, ""
         if code:
@@ -142,6 +143,10 @@ class Engine:
         widened = sorted(heads & set().union(*self.heads))
         self.rules += program.rules
         self.heads.append(heads)
+        for line in text.splitlines():  # %% signature  what it means
+            if line.startswith("%% "):
+                signature, _, words = line[3:].partition(")")
+                self.docs[signature.partition("(")[0]] = (f"{signature})", words.strip())
         return widened
 
     def load_facts(self, text: str) -> int:
@@ -266,16 +271,11 @@ class Engine:
 
     def catalog(self) -> dict:
         """Relations with their columns, rules with their lines of documentation, and vocabularies with counts."""
-        docs = {}
-        for line in stdlib().splitlines():
-            if line.startswith("%% "):
-                signature, _, text = line[3:].partition(")")
-                docs[signature.partition("(")[0]] = (f"{signature})", text.strip())
         vocabulary = {}
         for relation, k, what in (("file", 1, "languages"), ("def", 2, "kinds"), ("visibility", 1, "visibilities"), ("scip_ref", 5, "roles")):
             if relation in self.base:
                 vocabulary[what] = {r[0]: r[1] for r in self.base[relation][0].groupBy(f"c{k}").count().orderBy(f"c{k}").collect()}
-        return {"relations": {n: [f"{c}:{t}" for c, t in schema.RELATIONS[n]] if n in schema.RELATIONS else self.base[n][1] for n in sorted(self.base)}, "rules": {n: docs.get(n, (n, "")) for n in sorted({r.head.name for r in self.rules})}, "vocabulary": vocabulary}
+        return {"relations": {n: [f"{c}:{t}" for c, t in schema.RELATIONS[n]] if n in schema.RELATIONS else self.base[n][1] for n in sorted(self.base)}, "rules": {n: self.docs.get(n, (n, "")) for n in sorted({r.head.name for r in self.rules})}, "vocabulary": vocabulary}
 
     def census(self) -> dict[str, int]:
         counts = [df.agg(F.count("*").alias("n")).withColumn("relation", F.lit(n)) for n, (df, _) in self.base.items()]

@@ -24,3 +24,8 @@ def census(e: Engine) -> DataFrame:
 def collisions(places: DataFrame) -> DataFrame:
     """Symbols s that stand in several files f, with how many."""
     return places.groupBy("s").agg(F.count_distinct("f").alias("n")).where("n > 1")
+
+
+def collisions_at(places: DataFrame) -> DataFrame:
+    """Places f, line, col at which several symbols s stand, with how many."""
+    return places.groupBy("f", "line", "col").agg(F.count_distinct("s").alias("n")).where("n > 1")
