@@ -5,9 +5,9 @@ signature with j plus a random fraction. A document stops as soon as no later ra
 Bands of the signature give candidates; every candidate is confirmed on full shingle sets.
 
 Documents with equal sets are one class and only its first document goes on. In each bucket the
-members are first compared with the bucket's smallest one, and what is then linked is merged. Members of
-buckets that still hold several components are compared where they have one of their rarest shingles in
-common, which all pairs at the threshold have (prefix filter); pairs within a component need no answer.
+members are first compared with the bucket's smallest one, and what is then linked is merged. Buckets that
+hold several components are compared with another member of theirs, a few times. Members of buckets that
+still hold several are compared where they have one of their rarest shingles in common, which all pairs at the threshold have (prefix filter); pairs within a component need no answer.
 Bands may miss a pair at the threshold with probability 1e-8; the second comparison misses none.
 
 Defined results: a document with fewer words than a shingle has one shingle, its whole sequence; one
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Memo, collect_garbage, discard, materialize, mix, slices, texts_of, windows
 
 ROWS = 4  # of a band
+PIVOTS = 3  # comparisons of each open bucket with one of its members
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = 1e-8) -> int:
@@ -203,11 +204,19 @@ def _sizes(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def open_nodes(bucketed: DataFrame, component: DataFrame) -> DataFrame:
-    """node and component of the members of buckets that hold several components."""
+def open_rows(bucketed: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, node, n_shingles, component of the buckets that hold several components."""
     known = bucketed.join(component, "node")
     parts = known.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several")
-    return known.join(parts.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
+    return known.join(parts.select("bucket"), "bucket", "left_semi")
+
+
+def candidates_by_pivot(rows: DataFrame, percent: int, salt: int) -> DataFrame:
+    """Pairs of one node of each bucket, drawn by a hash, with those of the bucket's other components."""
+    pivot = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "n_shingles", "component"), F.xxhash64("node", F.lit(salt))).alias("p"))
+    pivot = pivot.select("bucket", F.col("p.node").alias("x"), F.col("p.n_shingles").alias("na"), F.col("p.component").alias("cx"))
+    met = rows.select("bucket", F.col("node").alias("y"), F.col("n_shingles").alias("nb"), "component").join(pivot, "bucket").where("component <> cx").where(_sizes(percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 CELLS = 1 << 20
@@ -254,8 +263,9 @@ def candidates_left(sets: DataFrame, component: DataFrame, percent: int) -> Data
     return x.join(y, "shingle").where("cx <> cy and a < b").where(_sizes(percent)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, made: list | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs. made gets the tables that the result still reads."""
+    made = [] if made is None else made
     spark, percent = docs.sparkSession, round(100 * threshold)
     bands = bands_for(threshold)
     rows = materialize(digests(docs, size, bands), "digests")
@@ -272,22 +282,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     sets = materialize(sets_of(text, size), "sets")
     collect_garbage(spark)
     links = materialize(confirmed(candidates_by_smallest(shared, percent), sets, percent), "links")
-    component = materialize(components(nodes, links), "components")
-    still = materialize(open_nodes(shared, component), "open")
+    made += [rows, classes, links]
+    merged = lambda: made.append(materialize(components(nodes, links), "components")) or made[-1]
+    component = merged()
+    for salt in range(PIVOTS):  # most of what a large group still lacks, at one comparison for each member of a bucket
+        still = materialize(open_rows(shared, component), "open")
+        more = materialize(confirmed(candidates_by_pivot(still, percent, salt), sets, percent), "more")
+        made.append(more)
+        discard(still)
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        component = merged()
+    still = materialize(open_rows(shared, component).select("node", "component").distinct(), "open")
     if still.limit(1).count():
         of_open = materialize(sets.join(still.select("node"), "node", "left_semi"), "open-sets")
         left = materialize(candidates_left(of_open, still, percent), "left")
         more = materialize(confirmed(left, of_open, percent), "more")
+        made.append(more)
         if more.limit(1).count():
-            component = materialize(components(nodes, links.union(more)), "components")
+            links = links.union(more)
+            component = merged()
         discard(of_open, left)
-    discard(sets, shared)
+    discard(sets, shared, still)
     whole = classes.join(component, "node").select("digest", "component")
     out = rows.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(whole, "digest", "left")
     label = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
 
 
+def _gone(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """doc_id of the rows that go, as a table; what it was made from is deleted."""
+    made: list[DataFrame] = []
+    out = materialize(near_duplicates(docs, size, threshold, made).where("not kept").select("doc_id").distinct(), "gone")
+    discard(*made)
+    return out
+
+
 def deduplicate(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with the first document of each group only.
 
@@ -295,12 +326,12 @@ def deduplicate(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     by its own text, and of equal texts one stays. Rows without doc_id or without words all stay."""
     repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeats:
-        gone = near_duplicates(docs, size, threshold).where("not kept").select("doc_id").distinct()
+        gone = _gone(docs, size, threshold)
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     order = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.col("text").cast("string"), 256).alias("sha"), F.to_json(row).alias("json"), row.alias("row"))
     order = order.repartitionByRange("id", "sha", "json").sortWithinPartitions("id", "sha", "json")
     number = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())
     rows = materialize(order.select(number.alias("number"), "row"), "numbered")
-    gone = near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), size, threshold).where("not kept").select(F.col("doc_id").alias("number"))
+    gone = _gone(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), size, threshold).withColumnRenamed("doc_id", "number")
     return rows.join(gone, "number", "left_anti").select("row.*")

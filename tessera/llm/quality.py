@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, words
+from tessera.llm.common import discard, materialize, words
 
 MEASURES = {"symbols_per_word": 0.1, "dup_lines_per_word": 0.02, "repeats_per_word": 0.1, "chars_per_word": 4.0}
 FENCE, LEAN = 3.0, 200
+#: Up to so many groups' thresholds (four numbers each) are sent to every task; more are joined by their keys.
+MOST_GROUPS = 50_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -92,8 +94,16 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs (renamed by place to k0, k1, ...), COUNTS, base_failed and kept."""
     grouped = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     given = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), grouped("text").alias("text"), grouped("lang").alias("_lang"), grouped("source").alias("_source"))
-    rows = materialize(measured(given).drop("text"), "measured")
-    most = thresholds(rows).withColumnsRenamed({"_lang": "_l", "_source": "_s"})
+    measures = measured(given).drop("text")
+    if "text" in keep:  # texts are measured again rather than written once more
+        slim, rows = materialize(measures.select("_lang", "_source", *COUNTS, "base_failed"), "measured"), measures
+    else:
+        slim = rows = materialize(measures, "measured")
+    most = materialize(thresholds(slim).withColumnsRenamed({"_lang": "_l", "_source": "_s"}), "thresholds")
+    if rows is not slim:
+        discard(slim)
+    if most.count() <= MOST_GROUPS:
+        most = F.broadcast(most)
     joined = rows.join(most, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
     beyond = F.lit(False)
     for m, v in _values().items():
