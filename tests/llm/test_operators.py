@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -587,6 +589,78 @@ def test_substring_of_long_texts_and_many_null_ids(spark):
     assert back.schema == df.schema and Counter(r.single for r in back.collect()) == Counter(r[2] for r in rows)
 
 
+def words_of_any_length(rng):
+    """Words of 1 to 140 bytes that differ in one byte at most from others of their length, also in bytes of zero."""
+    n = rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 140])
+    w = bytearray(b"a" * n)
+    if rng.random() < 0.3:
+        w[rng.choice([0, n // 2, n - 1])] = rng.choice(b"\x00\x1cb")
+    return w.decode()
+
+
+def test_substring_tells_words_of_any_length_apart(spark):
+    rng = random.Random(47)
+    rows = []
+    for i in range(60):
+        base = re.findall(r"[^\x20\x09-\x0D]+", rng.choice(rows)[1]) if rows and i % 3 else [words_of_any_length(rng) for _ in range(90)]
+        for _ in range(i % 3):  # copies but for a word or two, some of which differ in their last byte alone
+            at = rng.randrange(len(base))
+            base[at] = base[at][:-1] + "c" if rng.random() < 0.5 else base[at] + "\x00"
+        rows.append((i, "".join(w + rng.choice([" ", "  ", "\n", "\t\x0b", "\r\n\x0c"]) for w in base)))
+    rows += [(60, rows[0][1].strip()), (61, "\n" + rows[1][1] * 3), (62, " "), (63, None)]
+    twins = [(2, rows[3][1]), (2, "an other text of this id " + rows[4][1]), (None, rows[5][1])]
+    both = spark.createDataFrame(rows + twins, "doc_id long, text string").repartition(4)
+    got = [tuple(r)[:4] for r in substring.removed(both).collect()]
+    assert sorted(got, key=lambda r: (key(r[0]), r[3])) == removed_by_force(both.collect())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = substring.removed(df).collect()
+    want = removed_by_force(df.collect())
+    assert sorted((tuple(r)[:4] for r in out), key=lambda r: r[0]) == want and 1000 < sum(r[2] for r in want)
+    for r in out:
+        assert all(a < b <= r.n_words for a, b in zip(r.spans[::2], r.spans[1::2]))
+        assert sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed
+    words, spans = {i: [w.decode() for w in split(t)] for i, t in rows}, {r.doc_id: r.spans for r in out}
+    for r in substring.deduplicate(df).collect():
+        gone = {k for a, b in zip(spans[r.doc_id][::2], spans[r.doc_id][1::2]) for k in range(a, b)}
+        assert r.text == (" ".join(w for k, w in enumerate(words[r.doc_id]) if k not in gone) if gone else dict(rows)[r.doc_id])
+
+
+def test_substring_marks_leave_out_what_is_single_however_rows_are_dealt():
+    rng = random.Random(53)
+    for _ in range(60):
+        texts = [b" ".join(b"w%d" % rng.randrange(50) for _ in range(rng.choice([0, 5, 19, 20, 21, 40, 300]))) for _ in range(rng.randint(1, 9))]
+        p = substring.Parsed(texts)
+        single = [[int(x) for x, d in zip(p.low.view(np.int64), p.low_doc) if d == r and rng.random() < 0.6] or rng.choice([None, []]) for r in range(len(texts))]
+        marks = substring._marks(p, pa.array(single, pa.list_(pa.int64())))
+        assert sum(map(len, marks.to_pylist())) <= len(p.low) / 8 + len(texts)
+        runs = np.cumsum(p.new) - 1  # of blocks that share an anchor
+        want = [int(a) for a, k in zip(p.at, runs) if int(p.low.view(np.int64)[k]) not in (single[p.doc[a]] or [])]
+        assert substring._open(p, marks).tolist() == want
+        alone = [(substring._open(substring.Parsed([t]), marks.slice(r, 1)) + p.starts[r]).tolist() for r, t in enumerate(texts)]
+        assert sum(alone, []) == want
+
+
+def test_substring_calls_nothing_for_each_word():
+    """Rare words fill no memory of hashes: what is done for each word and block is done for all of a batch at once."""
+
+    class Plan:  # hands back what would run in the executors
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run
+
+    texts = [" ".join(f"w{i * 500 + k}" for k in range(500)) for i in range(100)]
+    marks = pa.array([b"\xff" * 100] * len(texts), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int64()), marks], names=["text", "_key", "open"])
+    for work in (substring._anchors, substring._candidates):
+        calls, run = Counter(), work(Plan())
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            out = list(run(iter([batch])))
+        finally:
+            sys.setprofile(None)
+        assert sum(b.num_rows for b in out) > 5000
+        assert calls["call"] + calls["c_call"] < 10_000, calls  # of 50,000 words
+
+
 def test_urls_of_odd_shapes(spark):
     long = "http://a.example.net/es/" + "x" * 300_000
     rows = [(1, long, "r"), (2, "HTTP://Example.COM?a=://b.net/fr/", "r"), (3, "://", "r"), (4, "://net/es/", "r"), (5, "x://fr.net/fr/#", "r"), (6, "http://com/", "r"), (7, "http://notcom/", "r"), (8, "", "r")]
