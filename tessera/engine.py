@@ -186,7 +186,8 @@ class Engine:
             ev.answer = Observation()
             env.df = env.df.observe(ev.answer, F.count(F.lit(1)).alias("n"))
         if columns:
-            df = env.df.select(*(F.col(name_of(c)).alias(c) for c in columns)).distinct()
+            df = env.df.select(*(F.col(name_of(c)).alias(c) for c in columns))
+            df = df if env.unique else df.distinct()
         else:
             df = env.df.limit(1).select(F.lit(True).alias("holds"))
         depends = sorted(reachable({a.name for a, _ in atoms(goal)}, rules) & set(self.base))

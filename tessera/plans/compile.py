@@ -9,33 +9,42 @@ from pyspark.sql import functions as F
 
 from tessera.errors import invalid
 from tessera.functions.regex import checked
-from tessera.plans.syntax import MOST_INT, Arith, Assign, Atom, Between, Compare, Const, Count, Not, Test, Var
+from tessera.plans.syntax import MOST_INT, Arith, Assign, Atom, Between, Compare, Const, Count, Not, Test, Var, Wild
 from tessera.plans.types import INT, MIX, STR, convert, equal, literal
 
 #: Of an atom, its index in the body, the environment so far: its rows with columns c0, c1, ... and their types.
 Resolve = Callable[[Atom, object, "Env"], tuple[DataFrame, list[str]]]
 
+SIDE = 2_000  # rows of a block
+
 
 def name_of(variable: str) -> str:
     return "v_" + variable.replace(".", "__")
 
 
 class Env:
-    """The bindings so far: a DataFrame with a column for each bound variable. df is None before the first literal."""
+    """The bindings so far: a DataFrame with a column for each bound variable. df is None before the first literal.
+
+    unique: no two rows are alike, which needs no look at them."""
 
-    def __init__(self, df: DataFrame | None, types: dict[str, str], narrowed: bool = False):
-        self.df, self.types, self.narrowed = df, types, narrowed
+    def __init__(self, df: DataFrame | None, types: dict[str, str], narrowed: bool = False, unique: bool = False):
+        self.df, self.types, self.narrowed, self.unique = df, types, narrowed, unique
 
     def col(self, v: str) -> Column:
         return F.col(name_of(v))
 
 
 class BodyCompiler:
-    def __init__(self, spark: SparkSession, resolve: Resolve):
-        self.spark, self.resolve = spark, resolve
+    def __init__(self, spark: SparkSession, resolve: Resolve, kept=(), is_set: Callable[[str], bool] = lambda name: False, pairs: bool = False):
+        """kept: variables that the head keeps. is_set: whether a predicate's rows are known to differ. pairs: of a body
+        whose rows are all kept, duplicates go before the joins, and joins of few keys are dealt out in blocks."""
+        self.spark, self.resolve, self.kept, self.is_set, self.pairs = spark, resolve, set(kept), is_set, pairs
 
     def unit(self, env: Env) -> Env:
-        return env if env.df is not None else Env(self.spark.range(1).select(F.lit(True).alias("unit")), env.types, env.narrowed)
+        return env if env.df is not None else Env(self.spark.range(1).select(F.lit(True).alias("unit")), env.types, env.narrowed, True)
+
+    def tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(self, body, env: Env | None = None, first: int | None = None) -> Env:
         """Joins connected literals first, and runs whatever filters as soon as its variables are bound.
@@ -106,7 +115,7 @@ class BodyCompiler:
 
     def where(self, env: Env, condition: Column) -> Env:
         env = self.unit(env)
-        return Env(env.df.where(condition), env.types, env.narrowed)
+        return Env(env.df.where(condition), env.types, env.narrowed, env.unique)
 
     def matched(self, a: Atom, df: DataFrame, types: list[str]) -> tuple[DataFrame, dict[str, str]]:
         """The rows that agree with an atom's constants and repeated variables, with a column r_X for each variable X."""
@@ -126,20 +135,54 @@ class BodyCompiler:
         df, types = self.matched(a, *self.resolve(a, i, env))
         right = lambda v: F.col("r_" + name_of(v))
         constant = env.narrowed or any(isinstance(t, Const) for t in a.args)
+        unique = self.is_set(a.name) and not any(isinstance(t, Wild) for t in a.args)
+        if self.pairs and not unique:
+            df, unique = df.distinct(), True
         if env.df is None:
             if not types:
-                return Env(self.unit(env).df.join(df.withColumn("r_", F.lit(1)), F.lit(True), "left_semi"), {}, constant)
-            return Env(df.select(*(right(v).alias(name_of(v)) for v in types)), types, constant)
+                return Env(self.unit(env).df.join(df.withColumn("r_", F.lit(1)), F.lit(True), "left_semi"), {}, constant, True)
+            return Env(df.select(*(right(v).alias(name_of(v)) for v in types)), types, constant, unique)
         shared, new = [v for v in types if v in env.types], [v for v in types if v not in env.types]
         on = F.lit(True)
         for k, v in enumerate(shared):
             same = equal(env.col(v), env.types[v], right(v), types[v])
             on = same if not k else on & same
         if not new:
-            return Env(env.df.join(df if shared else df.withColumn("r_", F.lit(1)), on, "left_semi"), env.types, constant)
-        out = env.df.join(df, on) if shared else env.df.crossJoin(df)
+            return Env(env.df.join(df if shared else df.withColumn("r_", F.lit(1)), on, "left_semi"), env.types, constant, env.unique)
         keep = [F.col(c) for c in env.df.columns if c != "unit"]
-        return Env(out.select(*keep, *(right(v).alias(name_of(v)) for v in new)), env.types | {v: types[v] for v in new}, constant)
+        blocks = self.blocks(env, df, shared) if self.pairs and shared and all(env.types[v] == types[v] for v in shared) else None
+        if blocks:
+            left, df, block = blocks
+            out = left.join(df, on & block)
+        else:
+            out = env.df.join(df, on) if shared else env.df.crossJoin(df)
+        return Env(out.select(*keep, *(right(v).alias(name_of(v)) for v in new)), env.types | {v: types[v] for v in new}, constant, env.unique and unique)
+
+    def blocks(self, env: Env, df: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame, Column] | None:
+        """Both sides of a join whose rows are many times its input's, so that they spread over all tasks: the rows of a
+        key with many pairs go to blocks of SIDE rows on each side, each of which meets each of the other side's in a group of
+        its own. None where the pairs are few."""
+        of_left, of_right = [name_of(v) for v in shared], ["r_" + name_of(v) for v in shared]
+        n = env.df.groupBy(*of_left).agg(F.count("*").alias("nl_")).join(
+            df.groupBy(*of_right).agg(F.count("*").alias("nr_")), [F.col(x) == F.col(y) for x, y in zip(of_left, of_right)]
+        )
+        total = n.agg(F.sum(F.col("nl_") * F.col("nr_"))).first()[0] or 0
+        if total < 4 * SIDE * SIDE:
+            return None
+        n = n.where(F.col("nl_") * F.col("nr_") > SIDE * SIDE).select(
+            *(F.col(c).alias(f"k{i}_") for i, c in enumerate(of_left)), F.ceil(F.col("nl_") / SIDE).alias("lefts"), F.ceil(F.col("nr_") / SIDE).alias("rights")
+        )
+        many = max(self.tasks(), total // (4 * SIDE * SIDE))
+
+        def dealt(side: DataFrame, keys: list[str], own: str, other: str, mark: str) -> DataFrame:
+            block = F.pmod(F.xxhash64(*side.columns), F.coalesce(own, F.lit(1)))
+            each = F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1)) - 1)
+            out = side.join(n, [F.col(k) == F.col(f"k{i}_") for i, k in enumerate(keys)], "left")
+            out = out.select(*side.columns, block.alias(f"{mark}{own}_"), F.explode(each).alias(f"{mark}{other}_"))
+            return out.repartition(many, *keys, f"{mark}lefts_", f"{mark}rights_")
+
+        left, right = dealt(env.df, of_left, "lefts", "rights", "l"), dealt(df, of_right, "rights", "lefts", "r")
+        return left, right.hint("merge"), (F.col("llefts_") == F.col("rlefts_")) & (F.col("lrights_") == F.col("rrights_"))
 
     def negative(self, i, a: Atom, env: Env) -> Env:
         env = self.unit(env)
@@ -148,7 +191,7 @@ class BodyCompiler:
         for k, v in enumerate(types):
             same = equal(env.col(v), env.types[v], F.col("r_" + name_of(v)), types[v])
             on = same if not k else on & same
-        return Env(env.df.join(df if types else df.withColumn("r_", F.lit(1)), on, "left_anti"), env.types, env.narrowed)
+        return Env(env.df.join(df if types else df.withColumn("r_", F.lit(1)), on, "left_anti"), env.types, env.narrowed, env.unique)
 
     def operand(self, t, env: Env) -> tuple[Column, str]:
         if isinstance(t, Const):
@@ -192,7 +235,7 @@ class BodyCompiler:
         env = self.unit(env)
         if v in env.types:
             return self.where(env, equal(env.col(v), env.types[v], c, kind))
-        return Env(env.df.withColumn(name_of(v), c), env.types | {v: kind}, env.narrowed)
+        return Env(env.df.withColumn(name_of(v), c), env.types | {v: kind}, env.narrowed, env.unique)
 
     def between(self, lit: Between, env: Env) -> Env:
         env = self.unit(env)
@@ -204,12 +247,12 @@ class BodyCompiler:
                 return self.where(env, F.lit(False))
             return self.where(env, F.coalesce(convert(env.col(v), env.types[v], INT).between(low, high), F.lit(False)))
         df = env.df.where(low <= high)  # sequence() would count down
-        return Env(df.withColumn(name_of(v), F.explode(F.sequence(low, high))), env.types | {v: INT}, env.narrowed)
+        return Env(df.withColumn(name_of(v), F.explode(F.sequence(low, high))), env.types | {v: INT}, env.narrowed, env.unique)
 
     def count(self, v: str, c: Count, env: Env) -> Env:
         env = self.unit(env)
         keys = [name_of(k) for k in c.keys]
-        outer = Env(env.df.select(*keys).distinct(), {k: env.types[k] for k in c.keys}, env.narrowed) if keys else None
+        outer = Env(env.df.select(*keys).distinct(), {k: env.types[k] for k in c.keys}, env.narrowed, True) if keys else None
         inner = self.run(c.goal, outer)
         term = self.operand(c.term, inner)[0]
         counted = inner.df.groupBy(*keys).agg(F.count_distinct(term).alias("n_"))
@@ -221,7 +264,7 @@ class BodyCompiler:
             df = env.df.join(right, on, "left").select(*env.df.columns, F.coalesce("n_", F.lit(0)).cast("bigint").alias("n_"))
         else:
             df = env.df.crossJoin(counted)
-        return Env(self.assign(v, F.col("n_"), INT, Env(df, env.types, env.narrowed)).df.drop("n_"), env.types | ({} if v in env.types else {v: INT}), env.narrowed)
+        return Env(self.assign(v, F.col("n_"), INT, Env(df, env.types, env.narrowed)).df.drop("n_"), env.types | ({} if v in env.types else {v: INT}), env.narrowed, env.unique)
 
     def head(self, a: Atom, env: Env, types: list[str]) -> DataFrame:
         """The head's columns c0, c1, ..., of the relation's types."""

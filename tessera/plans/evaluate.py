@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.errors import QueryError, Status
 from tessera.plans.check import components, is_recursive
 from tessera.plans.compile import BodyCompiler, Env
-from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, atoms, map_terms, variables
+from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, atoms, goal_columns, map_terms, variables
 from tessera.plans.tables import counted, materialize, observed
 from tessera.plans.types import convert, infer
 
@@ -47,7 +47,8 @@ class Evaluation:
         return [r for r in self.rules if r.head.name in names]
 
     def goal(self, body) -> Env:
-        return BodyCompiler(self.spark, self.resolve).run(body)
+        whole = [x.name in self.base and not any(isinstance(t, Wild) for t in x.args) for x in body if isinstance(x, Atom)]
+        return BodyCompiler(self.spark, self.resolve, goal_columns(body), lambda name: name not in self.base, len(whole) > 1 and all(whole)).run(body)
 
     def resolve(self, a: Atom, at, env: Env) -> tuple[DataFrame, list[str]]:
         """The rows of a predicate, of those that the atom's constants and, for recursive ones, bindings ask for."""
@@ -74,8 +75,8 @@ class Evaluation:
                 return self.warm[key]  # finished as a whole, or with the same constants
         written = name in self.shared or keep
         if key not in self.done or written:
-            parts = [self.clause(r) for r in map(lambda r: specialize(r, consts), self.rules_of({name})) if r]
-            df = reduce(DataFrame.unionByName, parts).distinct() if parts else self.empty(name)
+            rules = [r for r in (specialize(r, consts) for r in self.rules_of({name})) if r]
+            df = reduce(DataFrame.unionByName, map(self.clause, rules)).distinct() if rules else self.empty(name)
             if written:
                 df, n = counted(df, name)
                 self.spend(n)
@@ -84,7 +85,7 @@ class Evaluation:
         return self.done[key]
 
     def clause(self, r: Rule, resolve=None, first: int | None = None) -> DataFrame:
-        c = BodyCompiler(self.spark, resolve or self.resolve)
+        c = BodyCompiler(self.spark, resolve or self.resolve, variables(r.head))
         return c.head(r.head, c.run(r.body, first=first), self.types[r.head.name])
 
     def invariant(self, a: Atom, at, env: Env) -> tuple[DataFrame, list[str]]:
