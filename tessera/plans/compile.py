@@ -247,6 +247,9 @@ class BodyCompiler:
                 return self.where(env, F.lit(False))
             return self.where(env, F.coalesce(convert(env.col(v), env.types[v], INT).between(low, high), F.lit(False)))
         df = env.df.where(low <= high)  # sequence() would count down
+        # spans of few bytes give many rows: they are dealt out before, in a number that AQE leaves alone
+        if env.types:
+            df = df.repartition(self.tasks(), *([env.col(x) for x in env.types if x in self.kept] or df.columns))
         return Env(df.withColumn(name_of(v), F.explode(F.sequence(low, high))), env.types | {v: INT}, env.narrowed, env.unique)
 
     def count(self, v: str, c: Count, env: Env) -> Env:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessera.errors import QueryError, Status
 from tessera.plans.check import components, is_recursive
 from tessera.plans.compile import BodyCompiler, Env
-from tessera.plans.syntax import Assign, Atom, Const, Rule, Var, Wild, atoms, goal_columns, map_terms, variables
-from tessera.plans.tables import counted, materialize, observed
+from tessera.plans.syntax import Assign, Atom, Between, Const, Rule, Var, Wild, atoms, goal_columns, map_terms, variables
+from tessera.plans.tables import counted, materialize, observed, unsized
 from tessera.plans.types import convert, infer
 
 COMPACT = 8  # rounds after which the deltas so far become one table
@@ -81,6 +81,8 @@ class Evaluation:
                 df, n = counted(df, name)
                 self.spend(n)
                 self.warm[key] = df, self.types[name]
+            elif any(isinstance(x, Between) and isinstance(x.out, Var) for r in rules for x in r.body):
+                df = unsized(df)  # many times the rows from which Spark would guess its size
             self.done[key] = df, self.types[name]
         return self.done[key]
 

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """df with a size that Spark doesn't know before it runs, and so takes for large: by that of its compressed files it
+    would send tables to the driver and all executors that take many times as much there. AQE goes by what it measures."""
+    spark = df.sparkSession
+    none = spark._jsparkSession.createDataFrame(spark.sparkContext._jsc.emptyRDD(), df._jdf.schema())  # no partition, no task
+    return df.unionByName(DataFrame(none, spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df from a written table: the lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessera import driver_queries
+from tessera.engine import Engine
 from tessera.plans import compile as plans
+from tessera.plans import tables
 
 def test_pairs_of_few_keys_spread_over_many_tasks(spark, tmp_path, monkeypatch):
     """Two nations, one of them with most suppliers, and a row twice: brute force, and no task makes most of the pairs."""
@@ -17,3 +19,16 @@ def test_pairs_of_few_keys_spread_over_many_tasks(spark, tmp_path, monkeypatch):
     assert max(parts) < len(got) / 5
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]  # duplicates go before the pairs are made
+
+
+def test_lines_of_spans_are_made_in_many_tasks_and_once(spark):
+    e = Engine(spark, code=True)
+    facts = " ".join(f'def("s{k}", "a.rs", "struct", "S{k}"). def_span("s{k}", {k}, {k + 9}, 0, 9).' for k in range(40))
+    e.load_facts(facts)
+    for name in ("def", "def_span"):  # files, whose size Spark knows
+        e.insert_relation(name, tables.materialize(e.base[name][0], name), trusted=True)
+    df = e.dataframe("?- symbol_at(F, L, S).")
+    assert {tuple(r) for r in df.collect()} == {("a.rs", line, f"s{k}") for k in range(40) for line in range(k, k + 10)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")] and "Exchange" in plan  # lines are not dealt out, their spans are
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 2**40  # nobody takes them for small
