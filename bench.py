@@ -26,7 +26,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     run, took = queries(), {}
     start = time.time()
-    run["d25_file_of"](spark, sf).count()  # loads the relations
+    code(spark, sf).fill()
     took["load"] = round(time.time() - start, 3)
     for name in HEADLINE:
         assert name in CODE_QUERIES

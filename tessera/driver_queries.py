@@ -249,7 +249,9 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collisions_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.census import collisions_at as of
 
-    return of(code(spark, sf_dir).base["scip_ref"][0].toDF("s", "f", "line", "col", "fr", "role"))
+    e = code(spark, sf_dir)
+    e.fill({"scip_ref"})
+    return of(e.base["scip_ref"][0].toDF("s", "f", "line", "col", "fr", "role"))
 
 
 _SWEEP = f"""WITH {CODE}, x AS (SELECT d.f, d.s, b1, b2 + 1000 * (l2 - l1) AS b2, row_number() OVER (PARTITION BY d.f ORDER BY b1, b2 + 1000 * (l2 - l1) DESC, d.s) AS k FROM def d JOIN def_span p ON p.s = d.s),

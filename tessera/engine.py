@@ -6,6 +6,7 @@ import json
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from importlib import resources
@@ -104,6 +105,8 @@ class Engine:
         self.docs: dict[str, tuple[str, str]] = {}  # signature and meaning of rules that say so
         self.warm: dict = {}  # predicates that are finished, while relations and rules stay
         self.scip_ingested, self.stale, self.root = True, False, ""
+        self.make: Callable[[set[str]], dict[str, DataFrame]] | None = None
+        self.waiting: set[str] = set()  # base relations that make() gives once something reads them
         if code:
             for name in schema.RELATIONS:
                 self.insert_relation(name, spark.createDataFrame([], schema.ddl(name)), trusted=True)
@@ -130,6 +133,20 @@ class Engine:
                     raise invalid(f"column `{f.name}` of `{name}` has {n} values that are null or outside 0..{MOST_INT}")
         self.warm = {}
         self.base[name] = (out.distinct() if distinct else out), types
+        self.waiting.discard(name)
+
+    def provide(self, names, make: Callable[[set[str]], dict[str, DataFrame]]) -> None:
+        """Base relations, of the types that they have here, which make() gives when the first query that needs them runs."""
+        self.warm, self.make, self.waiting = {}, make, set(names)
+
+    def fill(self, names=None) -> None:
+        """Makes what is still waiting of these relations; of all, if none are named."""
+        need = self.waiting if names is None else self.waiting & set(names)
+        if need:
+            warm = self.warm  # nothing finished has read them
+            for name, df in self.make(set(need)).items():
+                self.insert_relation(name, df, trusted=True)
+            self.warm = warm
 
     def load_rules(self, text: str) -> list[str]:
         """Adds clauses; all or none. Returns the heads that clauses before had as well."""
@@ -180,6 +197,8 @@ class Engine:
     def evaluate(self, text: str, seeds: bool = True, watch: bool = False) -> tuple[DataFrame, list[str], Evaluation, dict]:
         rules, goal, columns, shadowed = self.plan(text)
         deadline = None if self.limits.milliseconds is None else time.monotonic() + self.limits.milliseconds / 1000
+        depends = sorted(reachable({a.name for a, _ in atoms(goal)}, rules) & set(self.base))
+        self.fill(depends)
         ev = Evaluation(self.spark, rules, self.base, self.limits.derived, deadline, seeds, None if parse(text).rules else self.warm)
         env = ev.goal(goal)
         if watch:
@@ -190,7 +209,6 @@ class Engine:
             df = df if env.unique else df.distinct()
         else:
             df = env.df.limit(1).select(F.lit(True).alias("holds"))
-        depends = sorted(reachable({a.name for a, _ in atoms(goal)}, rules) & set(self.base))
         mixed = [c for c in columns if env.types[c] == "mix"]
         return df, columns, ev, {"depends": depends, "shadowed": shadowed, "mixed": mixed}
 
@@ -244,6 +262,7 @@ class Engine:
         """Symbols as `name path:line` of their first declaration, unless raw."""
         if raw or "def" not in self.base or "def_span" not in self.base:
             return df
+        self.fill({"def", "def_span"})
         d, s = self.base["def"][0], self.base["def_span"][0]
         site = d.join(s.select(F.col("c0").alias("s0"), F.col("c1").alias("line")), F.col("c0") == F.col("s0"))
         site = site.groupBy("c0").agg(F.min(F.struct(F.col("c1").alias("f"), "line", F.col("c3").alias("n"))).alias("at"))
@@ -272,6 +291,7 @@ class Engine:
 
     def catalog(self) -> dict:
         """Relations with their columns, rules with their lines of documentation, and vocabularies with counts."""
+        self.fill({"file", "def", "visibility", "scip_ref"})
         vocabulary = {}
         for relation, k, what in (("file", 1, "languages"), ("def", 2, "kinds"), ("visibility", 1, "visibilities"), ("scip_ref", 5, "roles")):
             if relation in self.base:
@@ -279,6 +299,7 @@ class Engine:
         return {"relations": {n: [f"{c}:{t}" for c, t in schema.RELATIONS[n]] if n in schema.RELATIONS else self.base[n][1] for n in sorted(self.base)}, "rules": {n: self.docs.get(n, (n, "")) for n in sorted({r.head.name for r in self.rules})}, "vocabulary": vocabulary}
 
     def census(self) -> dict[str, int]:
+        self.fill()
         counts = [df.agg(F.count("*").alias("n")).withColumn("relation", F.lit(n)) for n, (df, _) in self.base.items()]
         return {r.relation: r.n for r in reduce(DataFrame.unionByName, counts).collect()} if counts else {}
 

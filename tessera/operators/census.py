@@ -12,6 +12,7 @@ from tessera.engine import Engine
 
 def census(e: Engine) -> DataFrame:
     """what, value, n: rows of each relation, definitions by kind, references by role, files by language, anchored definitions."""
+    e.fill()
     line = lambda what, value: (F.lit(what).alias("what"), value.alias("value"), F.col("n"))
     parts = [df.agg(F.count("*").alias("n")).select(*line(name, F.lit(""))) for name, (df, _) in e.base.items()]
     for what, name, column in (("kind", "def", "c2"), ("role", "scip_ref", "c5"), ("language", "file", "c1")):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import schema
 from tessera.engine import Engine, Limits
-from tessera.plans.tables import materialize
+from tessera.plans.tables import counted
 
 CODE = """
 cnt AS (SELECT (SELECT count(*) FROM supplier) AS ns, (SELECT count(*) FROM part) AS np),
@@ -83,33 +83,50 @@ def relation(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"WITH {CODE} SELECT {columns} FROM {name}")
 
 
-#: What most relations are made of; written before them, so that each table is read and joined once.
+#: What most relations are made of; written before them where several read it, so that each table is read and joined once.
 STEPS = ("file", "pt", "occ")
+#: Relations with a row for nearly every row that is read: to look for duplicates before they are dealt out fills memory
+#: with a hash table of all, which spills.
+UNLIKE = ("scip_ref", "name_ref")
+ROWS = 1_000_000  # of occ, for each partition of these
 
 
-def relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The 16 relations, written out. Those that don't depend on each other are written at the same time."""
+def relations(spark: SparkSession, sf_dir: str, names=tuple(schema.RELATIONS)) -> dict[str, DataFrame]:
+    """Relations of the 16, written out. Those that don't depend on each other are written at the same time."""
     register(spark, sf_dir)
     parts = dict(re.findall(r"^(\w+) AS (\(.*?\)),?$(?=\n\w+ AS |\s*\Z)", CODE.strip(), re.M | re.S))
     made: dict[str, DataFrame] = {}
+    counts: dict[str, int] = {}
     tag = uuid.uuid4().hex
     source = lambda n: f"(SELECT * FROM tessera_{tag}_{n})" if n in made else parts[n]
 
-    def needed(name: str) -> set[str]:
-        return {name}.union(*(needed(n) for n in parts if n != name and re.search(rf"\b{n}\b(?! AS)", re.sub(r"'[^']*'", "", source(name)))))
+    def reads(name: str) -> list[str]:
+        return [n for n in parts if n != name for _ in re.findall(rf"\b{n}\b(?! AS)", re.sub(r"'[^']*'", "", source(name)))]
 
-    def write(name: str) -> DataFrame:
-        columns = "f, lang" if name == "file" and "occ" in made else "*"
-        use = needed(name)
-        return materialize(spark.sql(f"WITH {', '.join(f'{n} AS {source(n)}' for n in parts if n in use)} SELECT {columns} FROM {name}"), name)
+    def needed(name: str) -> set[str]:
+        return {name}.union(*(needed(n) for n in reads(name)))
+
+    def write(name: str, columns: str = "*") -> DataFrame:
+        use, text = needed(name), source
+        if name in UNLIKE:  # all rows first, and duplicates go once they are dealt out
+            text = lambda n: re.sub(r" UNION SELECT ", " UNION ALL SELECT ", source(n).replace("(SELECT DISTINCT ", "(SELECT ", 1)) if n == name else source(n)
+        df = spark.sql(f"WITH {', '.join(f'{n} AS {text(n)}' for n in parts if n in use)} SELECT {columns} FROM {name}")
+        if name in UNLIKE:
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.get("occ", 0) // ROWS)
+            df = (df.repartition(n, *df.columns) if counts.get("occ", 0) > ROWS else df.repartition(*df.columns)).distinct()
+        df, counts[name] = counted(df, name)
+        return df
 
     try:
+        used = set().union(*map(needed, names))
         for name in STEPS:
-            df = write(name)
-            df.createOrReplaceTempView(f"tessera_{tag}_{name}")
-            made[name] = df
+            if sum(reads(n).count(name) for n in used) > 1:
+                df = write(name)
+                df.createOrReplaceTempView(f"tessera_{tag}_{name}")
+                made[name] = df
+        todo = [n for n in schema.RELATIONS if n in names]
         with ThreadPoolExecutor(8) as pool:
-            return dict(zip(schema.RELATIONS, pool.map(inheritable_thread_target(spark)(write), schema.RELATIONS)))
+            return dict(zip(todo, pool.map(inheritable_thread_target(spark)(lambda n: write(n, "f, lang" if n == "file" else "*")), todo)))
     finally:
         for name in made:
             spark.catalog.dropTempView(f"tessera_{tag}_{name}")
@@ -131,13 +148,12 @@ _ENGINES: dict[tuple[str, str], tuple[tuple, Engine]] = {}
 
 
 def code(spark: SparkSession, sf_dir: str, warm: bool = True) -> Engine:
-    """An engine over the code graph, with the rule library. The relations are written out once for each state of the
-    folder's files; the engine stays warm, or with warm=False forgets what earlier queries have finished."""
+    """An engine over the code graph, with the rule library. A relation is written out once for each state of the folder's
+    files, when a query first needs it; the engine stays warm, or with warm=False forgets what earlier queries have finished."""
     key, now = (spark.sparkContext.applicationId, sf_dir), version(spark, sf_dir)
     if key not in _ENGINES or _ENGINES[key][0] != now:
         e = Engine(spark, LIMITS, code=True)
-        for n, df in relations(spark, sf_dir).items():
-            e.insert_relation(n, df, trusted=True)
+        e.provide(schema.RELATIONS, lambda names: relations(spark, sf_dir, names))
         _ENGINES[key] = now, e
     e = _ENGINES[key][1]
     if not warm:

@@ -1,11 +1,18 @@
 """What keeps memory, tasks and tables small on larger data."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tessera import driver_queries
 from tessera.engine import Engine
 from tessera.plans import compile as plans
 from tessera.plans import tables
+from tessera.plans.tables import shared_dir
+from tessera.sources import views
+
+SF = "/root/testdata/sf0.001"
+
 
 def test_pairs_of_few_keys_spread_over_many_tasks(spark, tmp_path, monkeypatch):
     """Two nations, one of them with most suppliers, and a row twice: brute force, and no task makes most of the pairs."""
@@ -32,3 +39,18 @@ def test_lines_of_spans_are_made_in_many_tasks_and_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate")] and "Exchange" in plan  # lines are not dealt out, their spans are
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 2**40  # nobody takes them for small
+
+
+def test_a_query_makes_what_it_reads_alone(spark, tmp_path):
+    os.symlink(SF, tmp_path / "sf")
+    at = shared_dir(spark).removeprefix("file://") + "/relations"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    run = driver_queries.queries()["d07_local_def"]
+    assert run(spark, str(tmp_path / "sf")).count() > 0
+    new = {d.rpartition("-")[0] for d in set(os.listdir(at)) - before}
+    assert "def" in new and not new & {"occ", "scip_ref", "name_ref", "def_span"}
+    e = views.code(spark, str(tmp_path / "sf"))
+    kept = e.base["def"][0]
+    assert driver_queries.queries()["d05_scip_claim"](spark, str(tmp_path / "sf")).count() > 0
+    assert e.base["def"][0] is kept and "name_ref" in e.waiting
+    assert e.census()["name_ref"] > 0 and not e.waiting
