@@ -149,7 +149,7 @@ class Evaluation:
                 if df is not None:
                     kept[n].append(df)
                     if len(kept[n]) > COMPACT:
-                        kept[n] = [materialize(everything(n), n.replace("@", "_"))]
+                        kept[n] = [counted(everything(n), n.replace("@", "_"))[0]]
             delta = fresh
             if not any(df is not None for df in fresh.values()):
                 return {n: everything(n) for n in part}

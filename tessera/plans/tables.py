@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows from which a written table counts as large.
+LARGE = 250_000
+
+
 def unsized(df: DataFrame) -> DataFrame:
     """df with a size that Spark doesn't know before it runs, and so takes for large: by that of its compressed files it
     would send tables to the driver and all executors that take many times as much there. AQE goes by what it measures."""
@@ -39,11 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """materialize(), and the number of rows, which the write itself counts."""
+    """materialize(), and the number of rows, which the write itself counts; unsized() if they are many."""
     seen = Observation()
     out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
     n = observed(seen)
-    return out, out.count() if n is None else n
+    n = out.count() if n is None else n
+    return unsized(out) if n > LARGE else out, n
 
 
 def observed(seen: Observation) -> int | None:

@@ -54,3 +54,13 @@ def test_a_query_makes_what_it_reads_alone(spark, tmp_path):
     assert driver_queries.queries()["d05_scip_claim"](spark, str(tmp_path / "sf")).count() > 0
     assert e.base["def"][0] is kept and "name_ref" in e.waiting
     assert e.census()["name_ref"] > 0 and not e.waiting
+
+
+def test_large_tables_are_not_sent_to_the_driver_by_the_size_of_their_files(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LARGE", 100, raising=False)
+    rows = spark.range(1000).select(F.lit("the same").alias("c0"), F.col("id").alias("c1"))
+    df, n = tables.counted(rows, "same")
+    assert n == 1000 and df.count() == 1000 and df.columns == ["c0", "c1"]
+    plan = spark.range(5).join(df.where("c1 < 900"), F.col("id") == F.col("c1"), "left_semi")
+    assert "Broadcast" not in plan._jdf.queryExecution().sparkPlan().toString() and plan.count() == 5
+    assert df.rdd.getNumPartitions() == tables.materialize(rows, "same").rdd.getNumPartitions()
