@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import invalid
 from tessera.functions.regex import checked
-from tessera.plans.syntax import MOST_INT, Arith, Assign, Atom, Between, Compare, Const, Count, Not, Test, Var, Wild
+from tessera.plans.syntax import MOST_INT, Arith, Assign, Atom, Between, Compare, Const, Count, Not, Test, Var, Wild, variables
 from tessera.plans.types import INT, MIX, STR, convert, equal, literal
 
 #: Of an atom, its index in the body, the environment so far: its rows with columns c0, c1, ... and their types.
@@ -56,7 +56,9 @@ class BodyCompiler:
             env = self.step(first, body[first], env)
             todo = [x for x in todo if x[0] != first]
         while todo:
-            ready = next((x for x in todo if self.ready(x[1], env)), None)
+            ready = next((x for x in todo if isinstance(x[1], (Compare, Test)) and self.ready(x[1], env)), None)
+            ready = ready or next((x for x in todo if self.restricts(x[1], env, todo)), None)
+            ready = ready or next((x for x in todo if self.ready(x[1], env)), None)
             if ready is None:
                 atoms = [x for x in todo if isinstance(x[1], Atom)]
                 if not atoms:
@@ -75,6 +77,15 @@ class BodyCompiler:
         shared = any(isinstance(t, Var) and t.name in env.types for t in a.args)
         return (shared or env.df is None, bound)
 
+    @staticmethod
+    def restricts(a, env: Env, todo: list) -> bool:
+        """A linked atom whose other variables only filter: it takes rows away before anti joins see them."""
+        if env.df is None or not isinstance(a, Atom) or not any(isinstance(t, Var) and t.name in env.types for t in a.args):
+            return False
+        new, rest = {t.name for t in a.args if isinstance(t, Var)} - set(env.types), [x for _, x in todo if x is not a]
+        filters = [x for x in rest if isinstance(x, (Compare, Test)) or isinstance(x, Atom) and len(x.args) == 1]
+        return bool(new) and all(any(v in variables(x) for x in filters) and not any(v in variables(x) for x in rest if x not in filters) for v in new)
+
     @staticmethod
     def ready(lit, env: Env, last: bool = False) -> bool:
         known = lambda ts: all(not isinstance(t, Var) or t.name in env.types for t in ts)

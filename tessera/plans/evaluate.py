@@ -38,6 +38,21 @@ class Evaluation:
         self.shared = {n for n in self.wide if used[n] >= SHARED and n not in self.recursive}
         self.most_derived, self.deadline, self.derived, self.rounds, self.seeded = most_derived, deadline, 0, 0, []
         self.fresh, self.answer = 0, None
+        self.rules = [x for r in rules for x in self.unfold(r)]
+
+    def unfold(self, r: Rule) -> list[Rule]:
+        """The clause with clauses of what it uses in place of an atom that keeps a part of the columns alone: whole rows of
+        that predicate would be made distinct for nothing, and before what else the clause asks for takes most of them away."""
+        if r.head.name in self.recursive:
+            return [r]
+        for i, a in enumerate(r.body):
+            if not isinstance(a, Atom) or a.name not in self.wide - self.recursive - self.shared or not any(isinstance(t, Wild) for t in a.args) or (a.name, (None,) * len(a.args)) in self.warm:
+                continue
+            self.fresh += 1
+            put = [inlined(r, i, c, f".u{self.fresh}") for c in self.rules_of({a.name})]
+            if None not in put:
+                return [y for x in put for z in x for y in self.unfold(z)]
+        return [r]
 
     def empty(self, name: str) -> DataFrame:
         kinds = ", ".join(f"c{i} {'bigint' if t == 'int' else 'string'}" for i, t in enumerate(self.types[name]))
@@ -231,6 +246,28 @@ def specialize(r: Rule, consts: tuple) -> Rule | None:
     return Rule(map_terms(r.head, put), tuple(map_terms(x, put) for x in r.body))
 
 
+def inlined(r: Rule, i: int, c: Rule, mark: str) -> list[Rule] | None:
+    """The clause with the body of c, a clause of that predicate, in place of its i-th literal: none if constants differ; None
+    if that can't be written. mark sets the variables of c apart."""
+    own = lambda t: Var(t.name + mark) if isinstance(t, Var) else t
+    c = Rule(map_terms(c.head, own), tuple(map_terms(x, own) for x in c.body))
+    inner, outer = {}, {}
+    for t, h in zip(r.body[i].args, c.head.args):
+        if isinstance(t, Wild):
+            continue
+        to, key, value = (inner, h, t) if isinstance(h, Var) else (outer, t, h)
+        if isinstance(key, Const):
+            if key != value:
+                return []
+        elif to.setdefault(key.name, value) != value:
+            return None
+    if not all(substitutable(x, inner) for x in c.body) or not all(substitutable(x, outer) for x in r.body):
+        return None
+    put = lambda to: lambda t: to.get(t.name, t) if isinstance(t, Var) else t
+    body = (*r.body[:i], *(map_terms(x, put(inner)) for x in c.body), *r.body[i + 1 :])
+    return [Rule(map_terms(r.head, put(outer)), tuple(map_terms(x, put(outer)) for x in body))]
+
+
 def substitutable(x, to: dict) -> bool:
     """Constants can stand in place of these variables there: not where a variable is assigned."""
     return not (isinstance(x, Assign) and set(variables(x)) & set(to))

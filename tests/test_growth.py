@@ -2,12 +2,15 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import driver_queries
 from tessera.engine import Engine
 from tessera.plans import compile as plans
-from tessera.plans import tables
+from tessera.plans import naive, tables
+from tessera.plans.check import check
+from tessera.plans.syntax import parse
 from tessera.plans.tables import shared_dir
 from tessera.sources import views
 
@@ -64,3 +67,33 @@ def test_large_tables_are_not_sent_to_the_driver_by_the_size_of_their_files(spar
     plan = spark.range(5).join(df.where("c1 < 900"), F.col("id") == F.col("c1"), "left_semi")
     assert "Broadcast" not in plan._jdf.queryExecution().sparkPlan().toString() and plan.count() == 5
     assert df.rdd.getNumPartitions() == tables.materialize(rows, "same").rdd.getNumPartitions()
+
+
+USES = 'call("ada", "f", 3). call("ada", "g", 4). call("box", "f", 5). call("box", "h", 5). kind("f", "fun"). kind("g", "mod"). kind("ada", "fun"). kind("box", "mod"). sure("f", 3). '
+USE = 'use(S, W, L, "sure") :- call(W, S, L), sure(S, L). use(S, W, L, "name") :- call(W, S, L), !sure(S, L). '
+
+
+@pytest.mark.parametrize("rules, want", [
+    ('edge(W, S) :- use(S, W, _, _), kind(S, K), K = "fun", kind(W, J), J != "mod". ?- edge(W, S).', {("ada", "f")}),
+    ('edge(W, S) :- use(S, W, _, "name"). ?- edge(W, S).', {("ada", "g"), ("box", "f"), ("box", "h")}),
+    ('edge(W, P) :- use(_, W, 5, P). ?- edge(W, P).', {("box", "name")}),
+    ('same(W) :- use(W, W, _, _). ?- same(W).', set()),
+    ('edge(W, N) :- kind(W, _), N = count{ S : use(S, W, _, _) }. ?- edge(W, N).', {("ada", 2), ("box", 2), ("f", 0), ("g", 0)}),
+    ('free(S) :- kind(S, _), !use(S, _, _, _). ?- free(S).', {("ada",), ("box",)}),
+])
+def test_parts_of_a_predicate_are_read_from_its_clauses(spark, rules, want):
+    text = USES + USE + rules
+    clauses, goal = check(parse(text), {})
+    df, columns, ev, _ = Engine(spark).evaluate(text)
+    assert {tuple(r) for r in df.collect()} == want == naive.answer(clauses, goal, {})
+
+
+def test_calls_are_not_made_from_whole_references(spark):
+    """Of the references, those from no callable place go before anything else is joined; no distinct over all seven columns."""
+    e = Engine(spark, code=True)
+    e.load_facts('def("s", "a.rs", "function", "S"). def("t", "a.rs", "function", "T"). name_ref("S", "a.rs", 3, 4, "t"). name_ref("S", "a.rs", 5, 4, "a.rs"). scip_ref("t", "a.rs", 9, 1, "s", "read").')
+    df = e.dataframe("?- calls(A, B).")
+    assert {tuple(r) for r in df.collect()} == {("t", "s"), ("s", "t")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Aggregate [" in line and line.split("Aggregate [")[1].split("]")[0].count(",") > 3]
+    assert not wide
