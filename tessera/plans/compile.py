@@ -35,10 +35,11 @@ class Env:
 
 
 class BodyCompiler:
-    def __init__(self, spark: SparkSession, resolve: Resolve, kept=(), is_set: Callable[[str], bool] = lambda name: False, pairs: bool = False):
+    def __init__(self, spark: SparkSession, resolve: Resolve, kept=(), is_set: Callable[[str], bool] = lambda name: False, pairs: bool = False, parts: Callable[[str], int] = lambda name: 0):
         """kept: variables that the head keeps. is_set: whether a predicate's rows are known to differ. pairs: of a body
-        whose rows are all kept, duplicates go before the joins, and joins of few keys are dealt out in blocks."""
-        self.spark, self.resolve, self.kept, self.is_set, self.pairs = spark, resolve, set(kept), is_set, pairs
+        whose rows are all kept, duplicates go before the joins, and joins of few keys are dealt out in blocks. parts: into
+        how many partitions a join with a predicate is dealt out at least, where not 0."""
+        self.spark, self.resolve, self.kept, self.is_set, self.pairs, self.parts = spark, resolve, set(kept), is_set, pairs, parts
 
     def unit(self, env: Env) -> Env:
         return env if env.df is not None else Env(self.spark.range(1).select(F.lit(True).alias("unit")), env.types, env.narrowed, True)
@@ -165,6 +166,9 @@ class BodyCompiler:
         if blocks:
             left, df, block = blocks
             out = left.join(df, on & block)
+        elif (n := self.parts(a.name)) and shared and all(env.types[v] == types[v] for v in shared):
+            n = max(n, self.tasks())
+            out = env.df.repartition(n, *map(env.col, shared)).join(df.repartition(n, *map(right, shared)), on)
         else:
             out = env.df.join(df, on) if shared else env.df.crossJoin(df)
         return Env(out.select(*keep, *(right(v).alias(name_of(v)) for v in new)), env.types | {v: types[v] for v in new}, constant, env.unique and unique)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError, Status
+from tessera.plans import tables
 from tessera.plans.check import components, is_recursive
 from tessera.plans.compile import BodyCompiler, Env
 from tessera.plans.syntax import Assign, Atom, Between, Const, Rule, Var, Wild, atoms, goal_columns, map_terms, variables
@@ -101,8 +102,8 @@ class Evaluation:
             self.done[key] = df, self.types[name]
         return self.done[key]
 
-    def clause(self, r: Rule, resolve=None, first: int | None = None) -> DataFrame:
-        c = BodyCompiler(self.spark, resolve or self.resolve, variables(r.head))
+    def clause(self, r: Rule, resolve=None, first: int | None = None, parts=lambda name: 0) -> DataFrame:
+        c = BodyCompiler(self.spark, resolve or self.resolve, variables(r.head), parts=parts)
         return c.head(r.head, c.run(r.body, first=first), self.types[r.head.name])
 
     def invariant(self, a: Atom, at, env: Env) -> tuple[DataFrame, list[str]]:
@@ -126,6 +127,7 @@ class Evaluation:
         kept: dict[str, list[DataFrame]] = {n: [] for n in part}
         everything = lambda n: reduce(DataFrame.unionByName, kept[n]) if kept[n] else self.empty(n)
         delta: dict[str, DataFrame | None] = dict.fromkeys(part)
+        held, size_of = Counter(), Counter()  # rows so far, and of the last round
         for r in rules:  # before the first round, which may read the same
             if any(isinstance(x, Atom) and x.name in inside for x in r.body):
                 for i, x in enumerate(r.body):
@@ -146,7 +148,9 @@ class Evaluation:
                             return self.invariant(a, at, env)
                         return (delta[a.name] if at == place else everything(a.name)), self.types[a.name]
 
-                    made[r.head.name].append(self.clause(r, rows, first=place))
+                    # many new rows that meet many old ones: by the bytes of both AQE would join them in few tasks
+                    many = size_of[r.body[place].name] > tables.LARGE
+                    made[r.head.name].append(self.clause(r, rows, place, lambda name, many=many: -(-held[name] // tables.LARGE) if many and name in inside else 0))
             fresh: dict[str, DataFrame | None] = dict.fromkeys(part)
             for n in part:
                 if not made[n]:
@@ -157,6 +161,8 @@ class Evaluation:
                     new = new.join(old, reduce(lambda x, y: x & y, (F.col(c) == F.col(f"o{c}") for c in new.columns)), "left_anti")
                 new, size = counted(new, n.replace("@", "_"))
                 self.spend(size)
+                held[n] += size
+                size_of[n] = size
                 if size:
                     fresh[n] = new
             self.rounds += 1

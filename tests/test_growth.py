@@ -1,6 +1,7 @@
 """What keeps memory, tasks and tables small on larger data."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import driver_queries
 from tessera.engine import Engine
 from tessera.plans import compile as plans
-from tessera.plans import naive, tables
+from tessera.plans import evaluate, naive, tables
 from tessera.plans.check import check
 from tessera.plans.syntax import parse
 from tessera.plans.tables import shared_dir
@@ -69,6 +70,23 @@ def test_large_tables_are_not_sent_to_the_driver_by_the_size_of_their_files(spar
     assert df.rdd.getNumPartitions() == tables.materialize(rows, "same").rdd.getNumPartitions()
 
 
+def test_joins_of_many_new_rows_with_many_old_ones_have_tasks_by_their_rows(spark, monkeypatch):
+    e = Engine(spark)
+    e.load_facts(" ".join(f"next({k}, {k + 1})." for k in range(40)))
+    monkeypatch.setattr(tables, "LARGE", 20, raising=False)
+    plans, made = [], evaluate.counted
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return made(df, name)
+
+    monkeypatch.setattr(evaluate, "counted", spy)
+    df = e.dataframe("far(A, B) :- next(A, B). far(A, C) :- far(A, B), far(B, C). ?- far(A, B).")
+    assert {tuple(r) for r in df.collect()} == {(a, b) for a in range(41) for b in range(a + 1, 41)}
+    dealt = [int(n) for text in plans for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", text)]
+    assert dealt and max(dealt) >= 500 // 20  # over 500 pairs are there in the last round but one
+
+
 USES = 'call("ada", "f", 3). call("ada", "g", 4). call("box", "f", 5). call("box", "h", 5). kind("f", "fun"). kind("g", "mod"). kind("ada", "fun"). kind("box", "mod"). sure("f", 3). '
 USE = 'use(S, W, L, "sure") :- call(W, S, L), sure(S, L). use(S, W, L, "name") :- call(W, S, L), !sure(S, L). '
 
